@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["vectors"]
+MODULES = ["vectors", "texts"]
 
 
 def _merged(attribute: str) -> dict:

@@ -94,3 +94,8 @@ def percentile_linear(df: DataFrame, value: str, q: float, width: float = 1e-4)
         .join(size, "_g")
         .select((F.col("_lo") + (F.col("_hi") - F.col("_lo")) * share).alias(value))
     )
+
+
+def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate to every row (the one row is broadcast)."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(totals.withColumn("_one", F.lit(1))), "_one").drop("_one")
