@@ -252,14 +252,13 @@ def parse_batch(spark, sf):
 
 
 def json_in_prose(spark, sf):
-    """Every third response is wrapped in prose, every seventh is cut."""
-    r = _responses(spark, sf)
-    c = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Sure:\n"), "content", F.lit("\nThanks"))).otherwise(F.col("content"))
-    c = F.when(F.col("doc_id") % 7 == 0, F.substring(c, 1, 60)).otherwise(c)
-    x = r.select("key", prompts.extract_json(c).alias("x"))
-    return x.select(
-        "key", F.md5("x.json").alias("json_md5"), F.md5("x.raw_response").alias("raw_md5"), "x.confidence", "x.reasoning"
-    )
+    """A JSON object per document, some wrapped in prose, some cut, some missing."""
+    d = table(spark, sf, "documents").select("doc_id", "n_chars", F.substring_index("text", "\n", 1).alias("first"))
+    body = F.format_string('{"id": %d, "size": {"chars": %d}}', "doc_id", "n_chars")
+    c = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Sure:\n"), body, F.lit("\nThanks"))).otherwise(body)
+    c = F.when(F.col("doc_id") % 7 == 0, F.substring(c, 1, 12)).when(F.col("doc_id") % 11 == 0, F.col("first")).otherwise(c)
+    x = d.select("doc_id", prompts.extract_json(c).alias("x"))
+    return x.select("doc_id", "x.json", "x.raw_response", "x.confidence", "x.reasoning")
 
 
 def parse_others(spark, sf):
@@ -433,7 +432,7 @@ TAGGED = """tagged AS (
 counts AS (SELECT label, count(*) AS n FROM (SELECT unnest(labels) AS label FROM tagged) GROUP BY 1)"""
 
 WORDS = "list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda w: w <> '')"
-SIMILAR = f"""similar AS (
+SIMILAR = f"""alike AS (
   SELECT a.label AS label_a, b.label AS label_b FROM counts a JOIN counts b ON a.label < b.label
   WHERE contains(lower(a.label), lower(b.label)) OR contains(lower(b.label), lower(a.label))
     OR len(list_intersect(list_distinct({WORDS.format('a.label')}), list_distinct({WORDS.format('b.label')})))
@@ -459,7 +458,7 @@ EMPTY = "{'done': []::VARCHAR[], 'cur': ''}"
 
 def _fold_sql(values, step):
     """Left fold over strings with a (done, cur) state, closed at the end."""
-    return f"""list_reduce(list_transform({values}, lambda s: {{'done': []::VARCHAR[], 'cur': s}}),
+    return f"""list_reduce(list_transform({values}, lambda item_: {{'done': []::VARCHAR[], 'cur': item_}}),
       lambda a, x: {step}, {EMPTY})"""
 
 
@@ -493,11 +492,11 @@ def _pack_sql(source, idc, textc, n, overlap):
     return f"""sents AS (
   SELECT {idc} AS id, {textc} AS t, unnest({_sentences_sql(textc)}) AS s, generate_subscripts({_sentences_sql(textc)}, 1) AS p
   FROM {source} WHERE length({textc}) > {n}),
+long AS (SELECT id, p, s, {_words_state_sql('s', n)} AS w FROM sents WHERE length(s) + 1 > {n}),
 prepared AS (
-  SELECT id, p, s, CASE WHEN length(s) + 1 > {n} THEN {_words_state_sql('s', n)} ELSE {EMPTY} END AS w FROM sents),
-listed AS (
-  SELECT id, list({{'done': CASE WHEN length(s) + 1 > {n} THEN {_close_sql('w')} ELSE []::VARCHAR[] END, 'cur': s}} ORDER BY p) AS xs
-  FROM prepared GROUP BY 1),
+  SELECT id, p, {{'done': {_close_sql('w')}, 'cur': s}} AS x FROM long
+  UNION ALL SELECT id, p, {{'done': []::VARCHAR[], 'cur': s}} FROM sents WHERE length(s) + 1 <= {n}),
+listed AS (SELECT id, list(x ORDER BY p) AS xs FROM prepared GROUP BY 1),
 folded AS (SELECT id, list_reduce(xs, lambda a, x: {_pack_step_sql(n, overlap)}, {EMPTY}) AS st FROM listed),
 packed AS (
   SELECT id, {_close_sql('st')} AS chunks FROM folded
@@ -645,13 +644,13 @@ ORACLES = {
     "A02_component_usage": f"""WITH {TAGGED}
         SELECT component, count(*) AS n FROM (SELECT unnest(components) AS component FROM tagged) GROUP BY 1""",
     "L04_top_labels": f"WITH {TAGGED} SELECT label, n FROM counts ORDER BY n DESC, label LIMIT 5",
-    "J18_similar_labels": f"WITH {TAGGED}, {SIMILAR} SELECT * FROM similar",
+    "J18_similar_labels": f"WITH {TAGGED}, {SIMILAR} SELECT * FROM alike",
     "A34_label_report": f"""WITH {TAGGED}, {SIMILAR}, t AS (SELECT sum(n) AS total, count(*) AS k FROM counts)
         SELECT 'cleanup' AS kind, label AS subject, CASE WHEN n = 1 THEN '''' || label || ''' (used only once)'
           ELSE '''' || label || ''' (rarely used: ' || n || ' times)' END AS message
         FROM counts, t WHERE n = 1 OR n / total < 0.01
         UNION ALL SELECT 'inconsistency', label_a,
-          'Similar labels: ''' || label_a || ''' and ''' || label_b || ''' - consider consolidating' FROM similar
+          'Similar labels: ''' || label_a || ''' and ''' || label_b || ''' - consider consolidating' FROM alike
         UNION ALL SELECT 'optimization', 'labels', 'Large number of labels - consider label taxonomy review' FROM t
           WHERE k > 50
         UNION ALL SELECT 'optimization', label, 'Label ''' || label || ''' is overused - consider more specific labels'
@@ -694,6 +693,17 @@ ORACLES = {
           3.0 AS overall_score,
           CASE WHEN (doc_id // 5) % 3 = 0 THEN 'Batch analysis parsing failed' ELSE '' END AS improvement_suggestions,
           'Medium' AS risk_level FROM docs""",
+    "P30_extract_json": f"""WITH {DOCS}, b AS (SELECT *, '{{"id": ' || doc_id || ', "size": {{"chars": ' || n_chars || '}}}}'
+          AS body FROM docs),
+        w AS (SELECT doc_id, summary, CASE WHEN doc_id % 3 = 0 THEN 'Sure:' || chr(10) || body || chr(10) || 'Thanks'
+          ELSE body END AS c FROM b),
+        c AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN left(c, 12) WHEN doc_id % 11 = 0 THEN summary ELSE c END AS c
+          FROM w),
+        e AS (SELECT *, regexp_extract(c, '(?s)\\{{.*\\}}') AS j FROM c)
+        SELECT doc_id, CASE WHEN j <> '' THEN j END AS json, CASE WHEN j = '' THEN c END AS raw_response,
+          CASE WHEN j = '' THEN 0.5 END AS confidence,
+          CASE WHEN j <> '' THEN NULL WHEN contains(c, '{{') THEN 'Invalid JSON response'
+            ELSE 'Failed to parse structured response' END AS reasoning FROM e""",
     "P31_parse_cluster_drift_misplacement": f"""WITH {DOCS}, r AS (SELECT *, doc_id % 5 <> 0 AS ok FROM docs)
         SELECT key, CASE WHEN ok AND doc_id % 3 = 0 THEN 'theme A' ELSE 'Technical Debt Cluster ' || key END AS theme,
           0.5 AS priority_score, 'Medium' AS estimated_effort,
