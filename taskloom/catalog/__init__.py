@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["vectors", "texts"]
+MODULES = ["vectors", "texts", "trees", "syncing"]
 
 
 def _merged(attribute: str) -> dict:

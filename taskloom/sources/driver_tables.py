@@ -105,9 +105,10 @@ def tree_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("priority"),
     )
     tasks = li.select(
-        F.concat_ws("-", F.lit("L"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias(
-            "key"
-        ),
+        # order and line number alone are not unique in the generated table
+        F.concat_ws(
+            "-", F.lit("L"), *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+        ).alias("key"),
         F.concat(F.lit("Line "), F.col("l_linenumber").cast("string")).alias("summary"),
         F.lit("Sub-task").alias("issue_type"),
         F.when(F.col("l_linestatus") == "F", "Closed").otherwise("Open").alias("status"),
