@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["vectors", "texts", "trees", "syncing"]
+MODULES = ["vectors", "texts", "trees", "syncing", "costs"]
 
 
 def _merged(attribute: str) -> dict:

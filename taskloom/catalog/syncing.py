@@ -99,7 +99,7 @@ def upsert_chunks(spark, sf):
         "conv_id",
         "turn",
     )
-    again = c.where("conv_id % 2 = 0 and turn % 2 = 1").withColumn("text", F.upper("text"))
+    again = c.where("conv_id % 2 = 0 and turn % 2 = 1").withColumn("text", F.concat("text", F.lit("!")))
     return S.upsert_chunks(c, again).select("source_key", "chunk_id", F.md5("text").alias("text_md5"))
 
 
@@ -280,7 +280,7 @@ ORACLES = {
     "S04_upsert": f"""WITH {SNAP} SELECT key, md5(description) AS text_md5,
         strftime(updated + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M') AS updated FROM newer""",
     "S05_upsert_chunks": """SELECT 'CONV-' || conv_id AS source_key, conv_id || '_' || turn AS chunk_id,
-          md5(upper(text)) AS text_md5 FROM conversations WHERE conv_id % 2 = 0 AND turn % 2 = 1
+          md5(text || '!') AS text_md5 FROM conversations WHERE conv_id % 2 = 0 AND turn % 2 = 1
         UNION ALL SELECT 'CONV-' || conv_id, conv_id || '_' || turn, md5(text) FROM conversations
         WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE conv_id % 2 = 0 AND turn % 2 = 1)""",
     "S06_delete_keys": f"WITH {SNAP} SELECT key, status FROM newer WHERE doc_id % 10 = 0",
