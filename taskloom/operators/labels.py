@@ -31,32 +31,42 @@ def _grams(text, n: int):
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
 
 
-def contains_pairs(texts: DataFrame, needles: DataFrame, gram: int = 3) -> DataFrame:
-    """``(needle_id, text_id)`` where the needle is a substring of the text.
-
-    ``texts`` has ``(text_id, text)``, ``needles`` ``(needle_id, needle)``. A needle is
-    looked up by its rarest ``gram``-character piece (a shorter one by itself), so this is
-    an equi-join followed by a check, and common pieces do not multiply rows. Empty
-    needles match nothing.
-    """
-    sizes = list(range(1, gram + 1))
-    pieces = needles.where(F.length("needle") > 0).select(
-        "needle_id",
-        F.explode(
-            F.when(F.length("needle") < gram, F.array("needle")).otherwise(_grams(F.col("needle"), gram))
-        ).alias("piece"),
-    )
+def _meet(texts: DataFrame, needles: DataFrame, text_pieces, needle_pieces) -> DataFrame:
+    """Candidates ``(needle_id, text_id)`` that share the needle's rarest piece."""
+    pieces = needles.select("needle_id", F.explode(needle_pieces).alias("piece"))
     # only pieces that some needle holds can meet, so the text side is reduced first
-    held = texts.select(
-        "text_id", F.explode(F.array_distinct(F.flatten(F.array(*[_grams(F.col("text"), n) for n in sizes])))).alias("piece")
-    ).join(pieces.select("piece").distinct(), "piece", "left_semi")
+    held = texts.select("text_id", F.explode(text_pieces).alias("piece")).join(
+        pieces.select("piece").distinct(), "piece", "left_semi"
+    )
     frequency = held.groupBy("piece").agg(F.count("*").alias("f"))
     rarest = (
         pieces.join(frequency, "piece", "left")
         .groupBy("needle_id")
         .agg(F.min_by("piece", F.struct(F.coalesce("f", F.lit(0)), "piece")).alias("piece"))
     )
-    candidates = rarest.join(held, "piece").select("needle_id", "text_id").distinct()
+    return rarest.join(held, "piece").select("needle_id", "text_id")
+
+
+def contains_pairs(texts: DataFrame, needles: DataFrame, gram: int = 3) -> DataFrame:
+    """``(needle_id, text_id)`` where the needle is a substring of the text.
+
+    ``texts`` has ``(text_id, text)``, ``needles`` ``(needle_id, needle)``. A needle is
+    looked up by its rarest piece, an equi-join followed by a check: a needle of three or
+    more words by an inner word, which must be a whole word of the text too; a shorter
+    one by ``gram`` characters, or by itself when it has fewer. Empty needles match nothing.
+    """
+    words = lambda c: F.split(c, r"\s+")
+    sized = needles.where(F.length("needle") > 0).withColumn("_w", words(F.col("needle")))
+    long, short = sized.where(F.size("_w") >= 3), sized.where(F.size("_w") < 3)
+    inner = F.array_distinct(F.slice(F.col("_w"), 2, F.size("_w") - 2))
+    text = F.col("text")
+    by_word = _meet(texts, long, F.array_distinct(words(text)), inner)
+    tiny = short.where(F.length("needle") < gram)
+    exact = short.where(F.length("needle") >= gram)
+    by_gram = _meet(texts, exact, _grams(text, gram), _grams(F.col("needle"), gram))
+    smaller = F.array_distinct(F.flatten(F.array(*[_grams(text, n) for n in range(1, gram)])))
+    by_self = _meet(texts, tiny, smaller, F.array("needle"))
+    candidates = by_word.unionByName(by_gram).unionByName(by_self).distinct()
     return (
         candidates.join(needles, "needle_id")
         .join(texts, "text_id")

@@ -47,6 +47,15 @@ class Match:
     item_value: str
 
 
+@dataclass(frozen=True)
+class Between:
+    """A per-pair condition: the item's number lies in the query's ``[low, high]``; null bounds are open."""
+
+    query_low: str
+    query_high: str
+    item_value: str
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, rows: int, scale: bool = True) -> np.ndarray:
     """Row vectors of an Arrow list column, by default of length 1; zero vectors stay zero."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -84,6 +93,9 @@ def _allowed(left: pa.Table, right: pa.Table, n_conditions: int) -> np.ndarray |
         return None
     mask = np.ones((left.num_rows, right.num_rows), dtype=bool)
     for c in range(n_conditions):
+        if pa.types.is_struct(left.schema.field(f"m{c}").type):
+            mask &= _inside(left.column(f"m{c}"), right.column(f"m{c}"))
+            continue
         wanted = left.column(f"m{c}").to_pylist()
         have = right.column(f"m{c}").to_pylist()
         rows_of: dict[tuple, list[int]] = {}
@@ -97,6 +109,16 @@ def _allowed(left: pa.Table, right: pa.Table, n_conditions: int) -> np.ndarray |
     return mask
 
 
+def _inside(bounds: pa.ChunkedArray, values: pa.ChunkedArray) -> np.ndarray:
+    rows = bounds.to_pylist()
+    low = np.array([-np.inf if r["low"] is None else r["low"] for r in rows], dtype=np.float64)
+    high = np.array([np.inf if r["high"] is None else r["high"] for r in rows], dtype=np.float64)
+    v = np.array([np.nan if x is None else x for x in values.to_pylist()], dtype=np.float64)
+    inside = (v[None, :] >= low[:, None]) & (v[None, :] <= high[:, None])
+    unbounded = np.isinf(low) & np.isinf(high)
+    return inside | unbounded[:, None]
+
+
 def _best(scores: np.ndarray, limit: float, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column indices of each row's k best scores >= limit, ties by column."""
     keep = scores >= limit
@@ -274,9 +296,9 @@ def _single_cell(n_queries: int, n_items: int, cell_rows: int) -> _Pivots:
     return p
 
 
-def _prepare(df: DataFrame, id_col: str, vec_col: str, matches: list[str]) -> DataFrame:
+def _prepare(df: DataFrame, id_col: str, vec_col: str, matches: list) -> DataFrame:
     cols = [F.col(id_col).cast("string").alias("id"), F.col(vec_col).cast("array<double>").alias("v")]
-    cols += [F.col(m).alias(f"m{i}") for i, m in enumerate(matches)]
+    cols += [(F.col(m) if isinstance(m, str) else m).alias(f"m{i}") for i, m in enumerate(matches)]
     return df.select(*cols).where("id is not null and v is not null and size(v) > 0")
 
 
@@ -307,7 +329,7 @@ def top_k(
     item_id: str = "key",
     query_vector: str = "embedding",
     item_vector: str = "embedding",
-    match: list[Match] | None = None,
+    match: list[Match | Between] | None = None,
     group: str | None = None,
     cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
@@ -320,8 +342,14 @@ def top_k(
     """
     match = match or []
     limit = _NO_LIMIT if threshold is None else float(threshold)
-    q_extra = [m.query_list for m in match] + ([group] if group else [])
-    i_extra = [m.item_value for m in match] + ([group] if group else [])
+    q_extra = [
+        F.struct(F.col(m.query_low).cast("double").alias("low"), F.col(m.query_high).cast("double").alias("high"))
+        if isinstance(m, Between)
+        else m.query_list
+        for m in match
+    ] + ([group] if group else [])
+    i_extra = [F.col(m.item_value).cast("double") if isinstance(m, Between) else m.item_value for m in match]
+    i_extra += [group] if group else []
     left = _prepare(queries, query_id, query_vector, q_extra)
     right = _prepare(items, item_id, item_vector, i_extra)
     right = first_copies(right, k, [f"m{i}" for i in range(len(i_extra))])

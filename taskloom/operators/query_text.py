@@ -88,7 +88,7 @@ FILTER_COLUMNS = {
 }
 
 
-def filter_text(features: DataFrame) -> Column:
+def filter_text() -> Column:
     """The non-empty filters of a query as one JSON text, fields in table order."""
     filled = [F.when(F.size(c) > 0, F.col(c)).alias(name) for name, c in FILTER_COLUMNS.items()]
     return F.to_json(F.struct(*filled))
