@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["vectors", "texts", "trees", "syncing", "costs", "searching"]
+MODULES = ["vectors", "texts", "trees", "syncing", "costs", "searching", "jobs"]
 
 
 def _merged(attribute: str) -> dict:

@@ -543,9 +543,13 @@ def _section_sql():
 
 
 _PARTS, _REST = _section_sql()
-CHUNKS = f"""WITH {DOCS},
+
+
+def chunks_sql(n=800, docs=DOCS):
+    """Query with one row per chunk of the items in ``docs``."""
+    return f"""WITH {docs},
 cut AS (SELECT *, {_PARTS} AS parts, {_REST} AS rest FROM docs),
-{_pack_sql("cut", "key", "rest", 800, 50)},
+{_pack_sql("cut", "key", "rest", n, 50)},
 all_parts AS (
   SELECT c.*, list_concat(
       CASE WHEN summary <> '' THEN [{{'k': lower(issue_type) || '_summary', 't': summary}}] ELSE [] END,
@@ -556,6 +560,7 @@ SELECT left(md5(key || '_' || x.k || '_' || chunk_index), 12) AS chunk_id, key A
   chunk_index, x.t AS text, status, priority, strftime(updated, '%Y-%m') AS created_month,
   md5(summary || '|' || description || '|' || status || '|' || {ISO}) AS content_hash FROM flat"""
 
+
 _ALPHA = "CASE WHEN doc_id % 7 <> {k} THEN ((doc_id + {k}) % 5 + 1)::DOUBLE ELSE 3.0 END"
 _S = [_ALPHA.format(k=k) for k in range(4)]
 QUALITY = f"""quality AS (
@@ -633,7 +638,7 @@ ORACLES = {
         AS story_points FROM docs""",
     "C06_sentences": f"""WITH {DOCS}, s AS (SELECT key, {_sentences_sql('description')} AS xs FROM docs)
         SELECT key, generate_subscripts(xs, 1) - 1 AS pos, unnest(xs) AS sentence FROM s""",
-    "C01_chunk_items": CHUNKS,
+    "C01_chunk_items": chunks_sql(),
     "C07_pack_sentences": f"""WITH body AS (SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS t FROM pages),
         {_pack_sql("body", "page_id", "t", 300, 30)}
         SELECT id AS page_id, generate_subscripts(chunks, 1) - 1 AS pos, unnest(chunks) AS chunk FROM packed""",

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 Scorer = Callable[[list[str]], list[list[float]]]
 
@@ -27,7 +28,7 @@ def score_texts(df: DataFrame, scorer: Scorer, text: str, batch: int = 32) -> Da
                     [*part.columns, pa.array(vectors, pa.list_(pa.float64()))], names=[*names, "embedding"]
                 )
 
-    schema = df.schema.add("embedding", "array<double>")
+    schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))])
     return df.mapInArrow(run, schema)
 
 
