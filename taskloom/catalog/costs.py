@@ -177,8 +177,8 @@ def risk(spark, sf):
 
 
 def report(spark, sf):
-    out = full_report(cost_log(spark, sf), "month", NOW, LLM, EMB, MONTH_BUDGET)
-    return _r(out, "value", n=3)
+    out = full_report(cost_log(spark, sf), "month", NOW, LLM, EMB, MONTH_BUDGET, gap=60.0)
+    return _r(out, "value", n=4)
 
 
 QUERIES = {
@@ -446,4 +446,4 @@ ORACLES["A53_cost_report"] = f"""WITH {_SEEN}, clog AS (SELECT * FROM log WHERE
       / (SELECT sum(cost) FROM brk)))
     UNION ALL SELECT 'budget', 'monthly_percentage', month_cost / 4000 * 100 FROM period
     UNION ALL SELECT 'calls', 'analyzed', count(*) FROM log)
-  SELECT section, item, round(value, 3) AS value FROM rows_"""
+  SELECT section, item, round(value, 4) AS value FROM rows_"""

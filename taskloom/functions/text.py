@@ -117,7 +117,8 @@ def op_category(operation="operation") -> Column:
 def split_sentences(c) -> Column:
     """Sentences end at ``.!?`` before white space and a capital; abbreviations do not."""
     dot = "###DOT###"
-    guarded = F.regexp_replace(_col(c), f"({'|'.join(L.ABBREVIATIONS)})\\.", f"$1{dot}")
+    # anchored on the dot: the look-behind runs at dots only
+    guarded = F.regexp_replace(_col(c), f"(?<={'|'.join(L.ABBREVIATIONS)})\\.", dot)
     parts = F.split(guarded, r"(?<=[.!?])(?U:\s)+(?=[A-Z])", -1)
     restored = F.transform(parts, lambda s: strip(F.replace(s, F.lit(dot), F.lit("."))))
     return F.filter(restored, lambda s: s != "")

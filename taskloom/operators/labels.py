@@ -52,27 +52,37 @@ def contains_pairs(texts: DataFrame, needles: DataFrame, gram: int = 3) -> DataF
 
     ``texts`` has ``(text_id, text)``, ``needles`` ``(needle_id, needle)``. A needle is
     looked up by its rarest piece, an equi-join followed by a check: a needle of three or
-    more words by an inner word, which must be a whole word of the text too; a shorter
-    one by ``gram`` characters, or by itself when it has fewer. Empty needles match nothing.
+    more words by an inner word, which must be a whole word of the text too; a single word
+    in the vocabulary of the texts, since it lies inside one of their words; other needles
+    in the texts themselves. The last two use pieces of ``gram`` characters, or the needle
+    when it is shorter. Empty needles match nothing.
     """
     words = lambda c: F.split(c, r"\s+")
     sized = needles.where(F.length("needle") > 0).withColumn("_w", words(F.col("needle")))
-    long, short = sized.where(F.size("_w") >= 3), sized.where(F.size("_w") < 3)
+    long, pair = sized.where(F.size("_w") >= 3), sized.where(F.size("_w") == 2)
+    single = sized.where(F.size("_w") == 1)
     inner = F.array_distinct(F.slice(F.col("_w"), 2, F.size("_w") - 2))
     text = F.col("text")
     by_word = _meet(texts, long, F.array_distinct(words(text)), inner)
-    tiny = short.where(F.length("needle") < gram)
-    exact = short.where(F.length("needle") >= gram)
-    by_gram = _meet(texts, exact, _grams(text, gram), _grams(F.col("needle"), gram))
+    by_text = _by_grams(texts, pair, gram)
+    used = texts.select("text_id", F.explode(F.array_distinct(words(text))).alias("word"))
+    vocabulary = used.select(F.col("word").alias("text_id"), F.col("word").alias("text")).distinct()
+    in_word = _verified(_by_grams(vocabulary, single, gram), vocabulary, single).withColumnRenamed("text_id", "word")
+    by_vocabulary = in_word.join(used, "word").select("needle_id", "text_id").distinct()
+    return _verified(by_word.unionByName(by_text).distinct(), texts, needles).unionByName(by_vocabulary)
+
+
+def _by_grams(texts: DataFrame, needles: DataFrame, gram: int) -> DataFrame:
+    text, needle = F.col("text"), F.col("needle")
+    exact = _meet(texts, needles.where(F.length(needle) >= gram), _grams(text, gram), _grams(needle, gram))
     smaller = F.array_distinct(F.flatten(F.array(*[_grams(text, n) for n in range(1, gram)])))
-    by_self = _meet(texts, tiny, smaller, F.array("needle"))
-    candidates = by_word.unionByName(by_gram).unionByName(by_self).distinct()
-    return (
-        candidates.join(needles, "needle_id")
-        .join(texts, "text_id")
-        .where(F.contains("text", F.col("needle")))
-        .select("needle_id", "text_id")
-    )
+    tiny = _meet(texts, needles.where(F.length(needle) < gram), smaller, F.array("needle"))
+    return exact.unionByName(tiny)
+
+
+def _verified(candidates: DataFrame, texts: DataFrame, needles: DataFrame) -> DataFrame:
+    both = candidates.join(needles.select("needle_id", "needle"), "needle_id").join(texts, "text_id")
+    return both.where(F.contains("text", F.col("needle"))).select("needle_id", "text_id")
 
 
 def similar_labels(items: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ from taskloom.session import cut_lineage
 
 CELL_ROWS = 2048
 MAX_PIVOTS = 1024
+# up to this many pairs a plain grid of cells is cheaper than the passes that prune it
+GRID_PAIRS = 1_000_000_000
 SCORE_DIGITS = 12
 _SLACK = 1e-6
 _NO_LIMIT = -2.0
@@ -97,18 +100,27 @@ def _allowed(left: pa.Table, right: pa.Table, n_conditions: int) -> np.ndarray |
             mask &= _inside(left.column(f"m{c}"), right.column(f"m{c}"))
             continue
         wanted = left.column(f"m{c}").to_pylist()
-        have = right.column(f"m{c}").to_pylist()
+        have = right.column(f"m{c}").combine_chunks()
         rows_of: dict[tuple, list[int]] = {}
         for i, w in enumerate(wanted):
             if w:
-                rows_of.setdefault(tuple(w), []).append(i)
+                rows_of.setdefault(tuple(sorted(set(w))), []).append(i)
         for w, rows in rows_of.items():
-            w = set(w)
-            ok = np.array([any(x in w for x in h) if isinstance(h, list) else h in w for h in have], dtype=bool)
-            mask[rows] &= ok
+            mask[rows] &= _holds_any(have, list(w))
     return mask
 
 
+def _holds_any(have: pa.Array, wanted: list[str]) -> np.ndarray:
+    """Which values, or lists of values, are or contain one of ``wanted``."""
+    values = pa.array(wanted, pa.string())
+    if not pa.types.is_list(have.type):
+        return pc.is_in(have.cast(pa.string()), value_set=values).to_numpy(zero_copy_only=False)
+    out = np.zeros(len(have), dtype=bool)
+    parents = pc.list_parent_indices(have).to_numpy(zero_copy_only=False)
+    out[parents[pc.is_in(have.flatten().cast(pa.string()), value_set=values).to_numpy(zero_copy_only=False)]] = True
+    return out
+
+
 def _inside(bounds: pa.ChunkedArray, values: pa.ChunkedArray) -> np.ndarray:
     rows = bounds.to_pylist()
     low = np.array([-np.inf if r["low"] is None else r["low"] for r in rows], dtype=np.float64)
@@ -206,8 +218,12 @@ class _Pivots:
     query_splits: np.ndarray = field(default=None)
 
 
-def _choose_pivots(items: DataFrame, n_items: int, cell_rows: int, metric: str = "angle") -> _Pivots | None:
-    """A bounded sample of item vectors; any choice gives the same answer."""
+def _choose_pivots(
+    items: DataFrame, n_items: int, n_queries: int, cell_rows: int, prune: bool | None, metric: str = "angle"
+) -> _Pivots | None:
+    """A bounded sample of item vectors, or None for a plain grid; any choice gives the same answer."""
+    if prune is False or (prune is None and n_items * n_queries <= GRID_PAIRS):
+        return None
     wanted = min(MAX_PIVOTS, max(1, math.ceil(n_items / cell_rows)))
     if wanted == 1:
         return None
@@ -332,13 +348,15 @@ def top_k(
     match: list[Match | Between] | None = None,
     group: str | None = None,
     cell_rows: int = CELL_ROWS,
+    prune: bool | None = None,
 ) -> DataFrame:
     """Exact top ``k`` items per query by cosine similarity.
 
     Returns ``(query_id, item_id, score, rank)``; scores are rounded to 12 digits, ties
     go to the smaller item id. ``threshold`` keeps scores >= it (None keeps all).
     ``match`` restricts pairs by metadata, ``group`` to equal values of one column that
-    both tables have.
+    both tables have. ``prune`` forces or forbids routing by pivots; by default the number
+    of pairs decides.
     """
     match = match or []
     limit = _NO_LIMIT if threshold is None else float(threshold)
@@ -360,7 +378,7 @@ def top_k(
         hits = _grouped_hits(left, right, f"m{len(match)}", kernel, schema, cell_rows)
     else:
         n_queries, n_items = left.count(), right.count()
-        pivots = _choose_pivots(right, n_items, cell_rows)
+        pivots = _choose_pivots(right, n_items, n_queries, cell_rows, prune)
         if pivots is None:
             pivots = _single_cell(n_queries, n_items, cell_rows)
             zero = F.lit(0).alias("cell")
@@ -428,6 +446,7 @@ def linked_components(
     item_vector: str = "v",
     metric: str = "cosine",
     cell_rows: int = CELL_ROWS,
+    prune: bool | None = None,
 ) -> DataFrame:
     """Edges ``(a, b)`` with the connectivity of all pairs at a distance <= ``eps``.
 
@@ -440,7 +459,7 @@ def linked_components(
     n = rows.count()
     kernel = _component_kernel(eps, space)
     schema = "a string, b string"
-    pivots = _choose_pivots(rows, n, cell_rows, space)
+    pivots = _choose_pivots(rows, n, n, cell_rows, prune, space)
     if pivots is None:
         pivots = _single_cell(n, n, cell_rows)
         one = rows.withColumn("cell", F.lit(0))

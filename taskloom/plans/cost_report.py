@@ -21,6 +21,7 @@ def cost_report(
     embeddings: str = "embeddings",
     monthly: float = C.MONTHLY_BUDGET,
     embedding_batch: int = 32,
+    gap: float = 5.0,
 ) -> DataFrame:
     """Rows ``(section, item, value)``: services, daily series, categories, savings, forecast, efficiency, budget."""
     days = C.PERIOD_DAYS.get(period, 30)
@@ -29,7 +30,7 @@ def cost_report(
     rows = log.where((F.to_date("ts") >= first) & (F.col("ts") <= F.to_timestamp(F.lit(now))))
     breakdown = C.service_breakdown(rows, llm, embeddings)
     series = C.cost_series(rows, now, days)
-    suggestions = C.cost_optimisations(rows, llm, embedding_batch=embedding_batch)
+    suggestions = C.cost_optimisations(rows, llm, gap=gap, embedding_batch=embedding_batch)
     risk = C.efficiency_risk(suggestions, breakdown, monthly)
     outlook = C.forecast(series)
     budget = C.budget_status(rows, now, monthly=monthly)
