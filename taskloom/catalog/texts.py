@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from taskloom.functions import debt, text
-from taskloom.operators import chunking, labels, metadata, prompts, templates
+from taskloom.operators import chunking, cost, labels, metadata, prompts, templates
 from taskloom.operators.filters import validation_errors
-from taskloom.operators.ranks import with_total_before
 from taskloom.sources.driver_tables import document_items, table, tree_items
 
 # The generated prose is invented, so the registered queries use word lists made of
@@ -280,15 +279,12 @@ BUDGET = 10.0
 
 
 def within_budget(spark, sf):
-    r = _responses(spark, sf).select("key", "cost")
-    return with_total_before(r, ["key"], "cost").where(F.col("spent_before") < BUDGET).select(
-        "key", F.round("spent_before", 6).alias("spent_before")
-    )
+    r = cost.within_budget(_responses(spark, sf).select("key", "cost"), BUDGET)
+    return r.select("key", F.round("spent_before", 6).alias("spent_before"))
 
 
 def budget_quality(spark, sf):
-    r = with_total_before(_responses(spark, sf).drop("doc_id"), ["key"], "cost").where(F.col("spent_before") < BUDGET)
-    q = prompts.quality_rollup(prompts.parse_quality(r))
+    q = prompts.quality_rollup(prompts.parse_quality(cost.within_budget(_responses(spark, sf), BUDGET)))
     return q.withColumn("total_cost", F.round("total_cost", 6)).withColumn(
         "average_overall_score", F.round("average_overall_score", 6)
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from taskloom.functions.pairs import cases
 from taskloom.functions.text import op_category
-from taskloom.operators.ranks import with_totals
+from taskloom.operators.ranks import with_total_before, with_totals
 
 # Prices per token, savings shares, limits and thresholds.
 INPUT_PRICE, OUTPUT_PRICE = 0.000003, 0.000015
@@ -623,6 +623,15 @@ def forecast(daily: DataFrame, growth_rate: float = 0.0) -> DataFrame:
     )
 
 
+def within_budget(df: DataFrame, budget: float, key: str = "key", cost: str = "cost") -> DataFrame:
+    """Rows taken in key order until the budget is spent; adds ``spent_before``.
+
+    The row that crosses the budget is still taken. Only key and cost are sorted.
+    """
+    taken = with_total_before(df.select(key, cost), [key], cost).where(F.col("spent_before") < budget)
+    return df.join(taken.select(key, "spent_before"), key)
+
+
 def efficiency_risk(suggestions: DataFrame, breakdown: DataFrame, monthly: float = MONTHLY_BUDGET) -> DataFrame:
     """Efficiency score and risk flags from suggestions and the service breakdown."""
     savings = suggestions.agg(F.coalesce(F.sum("potential_savings"), F.lit(0.0)).alias("potential_savings"))

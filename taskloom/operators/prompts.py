@@ -139,14 +139,18 @@ def template_prompts(samples: DataFrame, show: int = 5) -> DataFrame:
 
 
 def with_batch(items: DataFrame, size: int, order: list[str] | None = None) -> DataFrame:
-    """Add ``batch_id`` (from 0) and ``in_batch`` (from 1) for groups of ``size`` rows."""
-    placed = with_position(items, order or ["key"], "_pos")
+    """Add ``batch_id`` (from 0) and ``in_batch`` (from 1) for groups of ``size`` rows.
+
+    ``order`` has to be unique. Only its columns are sorted and numbered; the rest of the
+    row joins the number afterwards.
+    """
+    order = order or ["key"]
+    placed = with_position(items.select(*order), order, "_pos")
     n = F.col("_pos") - 1
-    return (
-        placed.withColumn("batch_id", F.floor(n / size).cast("bigint"))
-        .withColumn("in_batch", (n % size + 1).cast("int"))
-        .drop("_pos")
+    numbers = placed.select(
+        *order, F.floor(n / size).cast("bigint").alias("batch_id"), (n % size + 1).cast("int").alias("in_batch")
     )
+    return items.join(numbers, order)
 
 
 def batch_prompts(items: DataFrame, size: int = 5) -> DataFrame:

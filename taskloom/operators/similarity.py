@@ -9,6 +9,7 @@ from taskloom.functions import pairs as P
 from taskloom.functions import vector as V
 from taskloom.operators.neighbours import CELL_ROWS, top_k
 from taskloom.operators.ranks import kth_smallest
+from taskloom.session import cut_lineage
 
 COST_PER_COMPARED_ITEM = 0.0001
 PAIR_COLUMNS = ["summary", "issue_type", "status", "epic_key", "created", "components", "labels"]
@@ -147,7 +148,8 @@ def epic_coherence(items: DataFrame) -> DataFrame:
 
     The outlier keys themselves are the rows of :func:`coherence_outliers`.
     """
-    per_item = item_coherence(items)
+    # read by the means and twice by the outlier threshold
+    per_item = cut_lineage(item_coherence(items))
     means = per_item.groupBy("epic_key").agg(
         F.count("*").alias("work_items_count"), F.avg("mean_similarity").alias("raw")
     )
