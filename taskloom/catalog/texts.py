@@ -582,7 +582,7 @@ ORACLES = {
           o_orderkey IN (SELECT l_orderkey FROM lineitem), coalesce(d.n, 0)
         FROM orders LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1) d
           ON d.l_orderkey = o_orderkey
-        UNION ALL SELECT concat_ws('-', 'L', l_orderkey, l_linenumber, l_partkey, l_suppkey), 'Medium', strftime(l_shipdate, '%Y-%m'), FALSE, 0
+        UNION ALL SELECT concat_ws('-', 'L', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')), 'Medium', strftime(l_shipdate, '%Y-%m'), FALSE, 0
         FROM lineitem""",
     "P06_clean_markup": f"WITH {DOCS} SELECT key, md5({_clean('description')}) AS clean_md5 FROM docs",
     "P07_embedding_text": f"""WITH {DOCS}, c AS (SELECT *, {_clean('description')} AS d FROM docs), t AS (

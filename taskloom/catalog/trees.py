@@ -113,7 +113,7 @@ QUERIES = {
     "S08_table_stats": table_stats,
 }
 
-LINE_KEY = "concat_ws('-', 'L', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+LINE_KEY = "concat_ws('-', 'L', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d'))"
 TREE = f"""items AS (
   SELECT 'C-' || c_custkey AS key, 'Epic' AS issue_type, CASE WHEN c_acctbal < 0 THEN 'Closed' ELSE 'Open' END AS status,
     NULL::VARCHAR AS parent_key, NULL::VARCHAR AS epic_key, TIMESTAMP '2024-01-01' AS created FROM customer

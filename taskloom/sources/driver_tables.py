@@ -116,7 +116,10 @@ def tree_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = li.select(
         # order and line number alone are not unique in the generated table
         F.concat_ws(
-            "-", F.lit("L"), *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+            "-",
+            F.lit("L"),
+            *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
+            F.date_format("l_shipdate", "yyyyMMdd"),
         ).alias("key"),
         F.concat(F.lit("Line "), F.col("l_linenumber").cast("string")).alias("summary"),
         F.lit("Sub-task").alias("issue_type"),
