@@ -201,11 +201,11 @@ def caching_summary(opportunities: DataFrame) -> DataFrame:
     )
 
 
-def bursts(log: DataFrame, gap: float = 5.0, bucket: str = "hour") -> DataFrame:
+def bursts(log: DataFrame, gap: float = 5.0, bucket: str = "minute") -> DataFrame:
     """Runs of calls of one operation at most ``gap`` seconds apart: ``(operation, start, end, calls, cost)``.
 
     Runs are first built inside (operation, time bucket), so a hot operation is split over
-    its hours. Only the first and last run of a bucket can continue in a neighbour bucket;
+    its buckets. Only the first and last run of a bucket can continue in a neighbour bucket;
     just those are looked at again per operation.
     """
     secs = lambda c: F.unix_micros(c) / 1e6

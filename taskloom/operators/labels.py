@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from taskloom.operators.ranks import with_totals
+from taskloom.session import cut_lineage
 
 
 def usage(items: DataFrame, column: str, name: str) -> DataFrame:
@@ -34,9 +36,11 @@ def _grams(text, n: int):
 def _meet(texts: DataFrame, needles: DataFrame, text_pieces, needle_pieces) -> DataFrame:
     """Candidates ``(needle_id, text_id)`` that share the needle's rarest piece."""
     pieces = needles.select("needle_id", F.explode(needle_pieces).alias("piece"))
-    # only pieces that some needle holds can meet, so the text side is reduced first
-    held = texts.select("text_id", F.explode(text_pieces).alias("piece")).join(
-        pieces.select("piece").distinct(), "piece", "left_semi"
+    # only pieces that some needle holds can meet; written once, so the texts are read once
+    held = cut_lineage(
+        texts.select("text_id", F.explode(text_pieces).alias("piece")).join(
+            pieces.select("piece").distinct(), "piece", "left_semi"
+        )
     )
     frequency = held.groupBy("piece").agg(F.count("*").alias("f"))
     rarest = (
@@ -58,26 +62,46 @@ def contains_pairs(texts: DataFrame, needles: DataFrame, gram: int = 3) -> DataF
     when it is shorter. Empty needles match nothing.
     """
     words = lambda c: F.split(c, r"\s+")
-    sized = needles.where(F.length("needle") > 0).withColumn("_w", words(F.col("needle")))
-    long, pair = sized.where(F.size("_w") >= 3), sized.where(F.size("_w") == 2)
-    single = sized.where(F.size("_w") == 1)
-    inner = F.array_distinct(F.slice(F.col("_w"), 2, F.size("_w") - 2))
     text = F.col("text")
-    by_word = _meet(texts, long, F.array_distinct(words(text)), inner)
-    by_text = _by_grams(texts, pair, gram)
-    used = texts.select("text_id", F.explode(F.array_distinct(words(text))).alias("word"))
-    vocabulary = used.select(F.col("word").alias("text_id"), F.col("word").alias("text")).distinct()
-    in_word = _verified(_by_grams(vocabulary, single, gram), vocabulary, single).withColumnRenamed("text_id", "word")
-    by_vocabulary = in_word.join(used, "word").select("needle_id", "text_id").distinct()
-    return _verified(by_word.unionByName(by_text).distinct(), texts, needles).unionByName(by_vocabulary)
+    kind = F.when(F.length("needle") < gram, "tiny").otherwise("exact")
+    sized = needles.where(F.length("needle") > 0).withColumn("_w", words(F.col("needle")))
+    sized = cut_lineage(
+        sized.withColumn("_n", F.least(F.lit(3), F.size("_w"))).withColumn("_kind", F.when(F.col("_n") < 3, kind))
+    )
+    # at most five kinds; the texts are searched only for the kinds there are
+    kinds = {(r["_n"], r["_kind"]) for r in sized.select("_n", "_kind").distinct().collect()}
+    found = []
+    if (3, None) in kinds:
+        inner = F.array_distinct(F.slice(F.col("_w"), 2, F.size("_w") - 2))
+        found.append(_meet(texts, sized.where("_n = 3"), F.array_distinct(words(text)), inner).distinct())
+    pair = {k for n, k in kinds if n == 2}
+    found += [c.distinct() for c in _by_grams(texts, sized.where("_n = 2"), pair, gram)]
+    parts = [_verified(c, texts, sized) for c in found]
+    single = {k for n, k in kinds if n == 1}
+    if single:
+        used = texts.select("text_id", F.explode(F.array_distinct(words(text))).alias("word"))
+        vocabulary = cut_lineage(used.select(F.col("word").alias("text_id"), F.col("word").alias("text")).distinct())
+        for c in _by_grams(vocabulary, sized.where("_n = 1"), single, gram):
+            in_word = _verified(c.distinct(), vocabulary, sized).withColumnRenamed("text_id", "word")
+            parts.append(in_word.join(used, "word").select("needle_id", "text_id").distinct())
+    if not parts:
+        types = [(c, d.schema[c].dataType) for c, d in (("needle_id", needles), ("text_id", texts))]
+        return needles.sparkSession.createDataFrame([], T.StructType([T.StructField(c, t) for c, t in types]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
-def _by_grams(texts: DataFrame, needles: DataFrame, gram: int) -> DataFrame:
+def _by_grams(texts: DataFrame, needles: DataFrame, kinds: set[str], gram: int) -> list[DataFrame]:
     text, needle = F.col("text"), F.col("needle")
-    exact = _meet(texts, needles.where(F.length(needle) >= gram), _grams(text, gram), _grams(needle, gram))
-    smaller = F.array_distinct(F.flatten(F.array(*[_grams(text, n) for n in range(1, gram)])))
-    tiny = _meet(texts, needles.where(F.length(needle) < gram), smaller, F.array("needle"))
-    return exact.unionByName(tiny)
+    out = []
+    if "exact" in kinds:
+        out.append(_meet(texts, needles.where("_kind = 'exact'"), _grams(text, gram), _grams(needle, gram)))
+    if "tiny" in kinds:
+        smaller = F.array_distinct(F.flatten(F.array(*[_grams(text, n) for n in range(1, gram)])))
+        out.append(_meet(texts, needles.where("_kind = 'tiny'"), smaller, F.array("needle")))
+    return out
 
 
 def _verified(candidates: DataFrame, texts: DataFrame, needles: DataFrame) -> DataFrame:
@@ -85,7 +109,7 @@ def _verified(candidates: DataFrame, texts: DataFrame, needles: DataFrame) -> Da
     return both.where(F.contains("text", F.col("needle"))).select("needle_id", "text_id")
 
 
-def similar_labels(items: DataFrame) -> DataFrame:
+def similar_labels(items: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Pairs of labels that could be merged: ``(label_a, label_b)`` with a < b.
 
     Labels are similar when one contains the other (ignoring case) or when they share at
@@ -93,7 +117,9 @@ def similar_labels(items: DataFrame) -> DataFrame:
     an equi-join on the rarest words of the first label: with d distinct words of which c
     must be shared, one of its d - c + 1 rarest has to be among them.
     """
-    names = label_usage(items).select("label", F.lower("label").alias("low"))
+    # the vocabulary is written once, so the items are read once
+    counts = counts if counts is not None else cut_lineage(label_usage(items))
+    names = counts.select("label", F.lower("label").alias("low"))
     words = F.filter(F.split("low", r"(?U)\s+"), lambda w: w != "")
     named = names.select("label", "low", words.alias("words"), F.array_distinct(words).alias("dw"))
     inside = contains_pairs(
@@ -128,7 +154,7 @@ def similar_labels(items: DataFrame) -> DataFrame:
 
 def label_report(items: DataFrame, many: int = 50) -> DataFrame:
     """Suggestions as rows ``(kind, subject, message)``."""
-    counts = label_usage(items)
+    counts = cut_lineage(label_usage(items))
     total = counts.agg(F.sum("n").alias("total"), F.count("*").alias("labels"))
     shared = with_totals(counts, total)
     rare = F.col("n") / F.col("total") < 0.01
@@ -139,7 +165,7 @@ def label_report(items: DataFrame, many: int = 50) -> DataFrame:
         .otherwise(F.format_string("'%s' (rarely used: %d times)", "label", "n"))
         .alias("message"),
     )
-    merge = similar_labels(items).select(
+    merge = similar_labels(items, counts).select(
         F.lit("inconsistency").alias("kind"),
         F.col("label_a").alias("subject"),
         F.format_string("Similar labels: '%s' and '%s' - consider consolidating", "label_a", "label_b").alias("message"),

@@ -377,7 +377,8 @@ def top_k(
     if group:
         hits = _grouped_hits(left, right, f"m{len(match)}", kernel, schema, cell_rows)
     else:
-        n_queries, n_items = left.count(), right.count()
+        # sizes of the plain inputs: an upper bound is enough, and only the id column is read
+        n_queries, n_items = queries.select(query_id).count(), items.select(item_id).count()
         pivots = _choose_pivots(right, n_items, n_queries, cell_rows, prune)
         if pivots is None:
             pivots = _single_cell(n_queries, n_items, cell_rows)

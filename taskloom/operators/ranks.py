@@ -11,7 +11,7 @@ from taskloom.session import cut_lineage
 def _in_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
     """Range-partition ``df`` by ``order`` and fix the range number of each row as data."""
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     ranged = df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
     return cut_lineage(ranged)
 

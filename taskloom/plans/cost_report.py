@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taskloom.operators import cost as C
+from taskloom.session import cut_lineage
 
 
 def _section(df: DataFrame, name: str, item, value) -> DataFrame:
@@ -28,22 +29,28 @@ def cost_report(
     # a period ends with its last day and covers days + 1 calendar days
     first = F.date_sub(F.to_date(F.lit(now)), days)
     rows = log.where((F.to_date("ts") >= first) & (F.col("ts") <= F.to_timestamp(F.lit(now))))
-    breakdown = C.service_breakdown(rows, llm, embeddings)
-    series = C.cost_series(rows, now, days)
+    # most sections need no more than daily sums per operation, so the log is reduced to them once
+    cube = cut_lineage(
+        rows.groupBy("service", "operation", F.date_trunc("day", "ts").alias("ts")).agg(
+            F.sum("cost").alias("cost"), F.count("*").alias("n")
+        )
+    )
+    breakdown = C.service_breakdown(cube, llm, embeddings)
+    series = C.cost_series(cube, now, days)
     suggestions = C.cost_optimisations(rows, llm, gap=gap, embedding_batch=embedding_batch)
     risk = C.efficiency_risk(suggestions, breakdown, monthly)
     outlook = C.forecast(series)
-    budget = C.budget_status(rows, now, monthly=monthly)
+    budget = C.budget_status(cube, now, monthly=monthly)
     parts = [
         _section(breakdown, "service", "service", "cost"),
         _section(series, "daily", "day", "cost"),
-        _section(C.cost_per_category(rows.where(F.col("service") == llm)), "category", "category", "cost"),
+        _section(C.cost_per_category(cube.where(F.col("service") == llm)), "category", "category", "cost"),
         _section(suggestions, "saving", "type", "potential_savings"),
         _section(outlook, "forecast", F.lit("next_month"), "next_month"),
         _section(outlook, "forecast", F.lit("next_week"), "next_week"),
         _section(risk, "efficiency", F.lit("score"), "efficiency_score"),
         _section(budget, "budget", F.lit("monthly_percentage"), "monthly_percentage"),
-        _section(rows.agg(F.count("*").alias("n")), "calls", F.lit("analyzed"), "n"),
+        _section(cube.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")), "calls", F.lit("analyzed"), "n"),
     ]
     out = parts[0]
     for p in parts[1:]:
