@@ -685,13 +685,13 @@ ORACLES = {
           CASE WHEN doc_id % 10 = 0 THEN TRUE
             WHEN doc_id % 5 = 0 THEN contains(lower(summary), 'split') AND contains(lower(summary), 'recommend')
             WHEN doc_id % 2 = 0 THEN n_chars > 1000 ELSE FALSE END AS should_split,
-          CASE WHEN doc_id % 5 <> 0 AND doc_id % 2 = 0 THEN 0.75 ELSE 0.5 END AS complexity_score,
+          CASE WHEN doc_id % 5 <> 0 AND doc_id % 2 = 0 THEN 0.75::DOUBLE ELSE 0.5 END AS complexity_score,
           CASE WHEN doc_id % 5 = 0 THEN 'Unable to parse detailed analysis' ELSE 'No reasoning provided' END AS reasoning,
           CASE WHEN doc_id % 5 <> 0 AND doc_id % 8 = 0 THEN 2 ELSE 0 END AS n_splits,
           CASE WHEN doc_id % 5 <> 0 AND doc_id % 8 = 0 THEN summary || '; rest' ELSE '' END AS titles FROM docs""",
     "P29_parse_batch_quality": f"""WITH {DOCS} SELECT doc_id // 5 AS batch_id, key,
           CASE WHEN (doc_id // 5) % 3 = 0 THEN 3.0 ELSE (doc_id % 5 + 1)::DOUBLE END AS clarity_score,
-          3.0 AS overall_score,
+          3.0::DOUBLE AS overall_score,
           CASE WHEN (doc_id // 5) % 3 = 0 THEN 'Batch analysis parsing failed' ELSE '' END AS improvement_suggestions,
           'Medium' AS risk_level FROM docs""",
     "P30_extract_json": f"""WITH {DOCS}, b AS (SELECT *, '{{"id": ' || doc_id || ', "size": {{"chars": ' || n_chars || '}}}}'
@@ -702,17 +702,17 @@ ORACLES = {
           FROM w),
         e AS (SELECT *, regexp_extract(c, '(?s)\\{{.*\\}}') AS j FROM c)
         SELECT doc_id, CASE WHEN j <> '' THEN j END AS json, CASE WHEN j = '' THEN c END AS raw_response,
-          CASE WHEN j = '' THEN 0.5 END AS confidence,
+          CASE WHEN j = '' THEN 0.5::DOUBLE END AS confidence,
           CASE WHEN j <> '' THEN NULL WHEN contains(c, '{{') THEN 'Invalid JSON response'
             ELSE 'Failed to parse structured response' END AS reasoning FROM e""",
     "P31_parse_cluster_drift_misplacement": f"""WITH {DOCS}, r AS (SELECT *, doc_id % 5 <> 0 AS ok FROM docs)
         SELECT key, CASE WHEN ok AND doc_id % 3 = 0 THEN 'theme A' ELSE 'Technical Debt Cluster ' || key END AS theme,
-          0.5 AS priority_score, 'Medium' AS estimated_effort,
+          0.5::DOUBLE AS priority_score, 'Medium' AS estimated_effort,
           'Review and prioritize items individually' AS recommended_approach,
           CASE WHEN ok AND doc_id % 2 = 0 THEN 'pivot' ELSE 'unknown' END AS change_type, 'moderate' AS impact_level,
           'Unable to analyze change details' AS summary,
           'Unable to analyze misplacement due to analysis error' AS reasoning,
-          CASE WHEN ok AND doc_id % 3 = 1 THEN 0.9 ELSE 0.5 END AS confidence FROM r""",
+          CASE WHEN ok AND doc_id % 3 = 1 THEN 0.9::DOUBLE ELSE 0.5 END AS confidence FROM r""",
     "A29_quality_rollup": f"WITH {DOCS}, {QUALITY} {ROLLUP.format('quality')}",
     "W11_within_budget": f"""WITH {DOCS}, {QUALITY}, {SPENT}
         SELECT key, round(spent_before, 6) AS spent_before FROM spent""",
@@ -731,13 +731,13 @@ ORACLES = {
         SELECT d.issue_type, count(*) AS sample_count,
           (SELECT string_agg(x, ',' ORDER BY n DESC, x) FROM ct WHERE ct.issue_type = d.issue_type) AS common_components,
           (SELECT string_agg(x, ',' ORDER BY n DESC, x) FROM lt WHERE lt.issue_type = d.issue_type) AS common_labels,
-          0.7 AS confidence_score FROM docs d GROUP BY 1 HAVING count(*) >= 3""",
+          0.7::DOUBLE AS confidence_score FROM docs d GROUP BY 1 HAVING count(*) >= 3""",
     "P32_template_fallback": f"""WITH {DOCS} SELECT issue_type, count(*) AS sample_count,
           CASE issue_type WHEN 'Story' THEN 'User Story: {{feature_description}}' WHEN 'Task' THEN 'Task: {{task_description}}'
             WHEN 'Bug' THEN 'Bug: {{issue_description}}' ELSE 'Epic: {{epic_theme}}' END AS title_template,
           CASE issue_type WHEN 'Story' THEN '## User Story' WHEN 'Task' THEN '## Description'
             WHEN 'Bug' THEN '## Summary' ELSE '## Epic Description' END AS head,
-          0.5 AS confidence_score FROM docs GROUP BY 1 HAVING count(*) >= 3""",
+          0.5::DOUBLE AS confidence_score FROM docs GROUP BY 1 HAVING count(*) >= 3""",
     "P33_template_checks": f"""WITH {DOCS}, t AS (SELECT doc_id,
           CASE WHEN doc_id % 3 <> 0 THEN '{{x}} ' || summary ELSE summary END AS title,
           CASE WHEN doc_id % 11 = 0 THEN '' ELSE summary END AS body FROM docs)

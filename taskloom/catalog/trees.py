@@ -162,6 +162,6 @@ ORACLES = {
     "S16_projects": "SELECT unnest(['C', 'O', 'L']) AS project",
     "S17_extraction_cost": """WITH c AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
         SELECT count(*) AS api_calls, sum(n)::BIGINT AS items_processed, round(sum(o_totalprice / 1000), 3) AS processing_seconds,
-          round(count(*) * 0.01, 6) AS estimated_cost FROM orders JOIN c ON l_orderkey = o_orderkey""",
+          round(count(*) * 0.01, 6)::DOUBLE AS estimated_cost FROM orders JOIN c ON l_orderkey = o_orderkey""",
     "S08_table_stats": "SELECT count(*) AS points_count, 1 AS segments_count, 'green' AS status FROM lineitem",
 }

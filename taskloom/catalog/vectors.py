@@ -267,7 +267,7 @@ REPORT = """SELECT (SELECT count(*) FROM dups) AS total_candidates,
   (SELECT count(*) FROM dups WHERE level = 'medium') AS medium_candidates,
   (SELECT count(*) FROM dups WHERE level = 'low') AS low_candidates,
   (SELECT count(*) FROM items) AS items_analyzed,
-  round((SELECT count(*) FROM items) * 0.0001, 6) AS processing_cost"""
+  round((SELECT count(*) FROM items) * 0.0001, 6)::DOUBLE AS processing_cost"""
 
 MEANS = f"""{ITEMS},
 means AS (
@@ -405,7 +405,7 @@ ORACLES = {
           OR (issue_type = 'Task' AND tag = 'tag-3'))""",
     "A33_debt_clusters": f"""WITH RECURSIVE {NEAREST},
         eps AS (SELECT quantile_cont(d, 0.75) AS e FROM near), {_cluster_sql(COS_D, "(SELECT e FROM eps)")}
-        SELECT cluster_id, key, 'Tech Debt Cluster ' || cluster_id AS theme, 0.3 AS priority_score,
+        SELECT cluster_id, key, 'Tech Debt Cluster ' || cluster_id AS theme, 0.3::DOUBLE AS priority_score,
           'Small' AS estimated_effort, 'Medium impact if not addressed' AS impact_assessment,
           'Address items in order of priority' AS recommended_approach,
           count(*) OVER (PARTITION BY cluster_id) AS n_items FROM clusters""",
@@ -415,6 +415,6 @@ ORACLES = {
           SELECT a.epic_key, a.key, avg(list_cosine_similarity(a.v, b.v)) AS m
           FROM items a JOIN items b ON a.epic_key = b.epic_key AND a.key <> b.key GROUP BY 1, 2)
         SELECT epic_key, count(*) AS n_items, coalesce(any_value(m.n), 0) AS misplaced_count,
-          round(greatest(0, least(1, avg(means.m))), 6) AS coherence_score, round(count(*) * 0.0001, 6) AS cost
+          round(greatest(0, least(1, avg(means.m))), 6) AS coherence_score, round(count(*) * 0.0001, 6)::DOUBLE AS cost
         FROM means LEFT JOIN m USING (epic_key) GROUP BY 1""",
 }
