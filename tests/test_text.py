@@ -249,3 +249,10 @@ def test_validation_and_filters(spark, items):
     got = where_meta(items, {"issue_type": ["Story", "Task"], "labels": ["login", "refactor"], "status": None})
     assert {r.key for r in got.collect()} == {"PROJ-1", "PROJ-2", "PROJ-4"}
     assert where_meta(items, {}).count() == 8
+
+
+def test_contains_pairs_without_needles(spark):
+    texts = spark.createDataFrame([(1, "a b c")], "text_id int, text string")
+    empty = spark.createDataFrame([("x", "")], "needle_id string, needle string")
+    got = labels.contains_pairs(texts, empty)
+    assert got.columns == ["needle_id", "text_id"] and got.count() == 0
