@@ -89,8 +89,8 @@ def stream_alerts(
 ) -> StreamingQuery:
     """Budget alerts, each threshold once per day or month, appended to a table below ``root``.
 
-    The state is the cost per day (one row per day and batch) and the alerts already sent.
-    Both tables name their batch, so a replayed batch replaces its own rows.
+    The state is the cost per day, kept apart for the current batch, and the alerts already
+    sent. Both tables name their batch, so a replayed batch replaces its own rows.
     """
     totals_path, alerts_path = f"{root}/daily_totals", f"{root}/alerts"
     alert_schema = "type string, period string, threshold double, usage double, severity string, epoch bigint"
@@ -104,10 +104,16 @@ def stream_alerts(
     def apply(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         mine = batch.groupBy(F.to_date("ts").alias("day")).agg(F.sum("cost").alias("cost"))
-        before = load(spark, totals_path, totals_schema, epoch)
+        # only the current batch can be replayed, so all earlier ones merge into one row per day
+        before = (
+            load(spark, totals_path, totals_schema, epoch)
+            .groupBy("day")
+            .agg(F.sum("cost").alias("cost"))
+            .withColumn("epoch", F.lit(epoch - 1).cast("bigint"))
+        )
         store.save_table(before.unionByName(mine.withColumn("epoch", F.lit(epoch).cast("bigint"))), totals_path)
         # the totals read back are those of this batch's snapshot
-        totals = load(spark, totals_path, totals_schema, -1)
+        totals = load(spark, totals_path, totals_schema, -9)
         by = lambda fmt: F.date_format("day", fmt)
         spent = (
             totals.groupBy(F.lit("daily_budget").alias("type"), by("yyyy-MM-dd").alias("period"))

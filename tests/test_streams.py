@@ -74,3 +74,34 @@ def test_session_gap_is_inclusive(spark, tmp_path):
     df = spark.createDataFrame(rows, "operation string, ts timestamp, cost double")
     assert sorted(r.calls for r in jobs.stream_bursts(df).collect()) == [1, 2]
     assert jobs.stream_rolling(df.withColumn("cost", F.lit(7.0))).where("mean_daily_cost = 3.0").count() == 7
+
+
+def test_replayed_batch_counts_once(spark, tmp_path):
+    """The same epoch applied twice leaves one total and no second alert."""
+    captured = {}
+
+    class Writer:
+        def foreachBatch(self, fn):
+            captured["apply"] = fn
+            return self
+
+        def option(self, *a):
+            return self
+
+        def trigger(self, **k):
+            return self
+
+        def start(self):
+            return None
+
+    class Stream:
+        writeStream = Writer()
+
+    root = str(tmp_path / "store")
+    jobs.stream_alerts(Stream(), root, "unused", 10.0, 1000.0)
+    batch = lambda c: spark.createDataFrame([(dt.datetime(2024, 1, 5), c)], "ts timestamp, cost double")
+    for epoch, c in ((0, 3.0), (1, 3.0), (1, 3.0), (2, 1.0), (2, 1.0)):
+        captured["apply"](batch(c), epoch)
+    assert store.load_table(spark, f"{root}/daily_totals").groupBy().sum("cost").first()[0] == 7.0
+    alerts = store.load_table(spark, f"{root}/alerts").where("type = 'daily_budget'").collect()
+    assert [r.threshold for r in alerts] == [0.5]
