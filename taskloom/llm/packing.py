@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,9 @@ SPARE_TOKENS = 16
 VOCABULARY = "byte_bpe_50k.json"
 #: Tokens that a task holds before it packs them; bounds its memory, not its result.
 BLOCK_TOKENS = 4_000_000
-CACHE_WORDS = 400_000
+#: Words whose ids a Python worker remembers, about 200 bytes each; then it starts anew.
+CACHE_WORDS = 1_500_000
+STOPS = (".", ",")
 _UNSAFE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
 
@@ -90,15 +93,26 @@ class WordTokens:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.stops = {c: self._ids(c) for c in STOPS}
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
-        new = [w for w in words if w not in known]
+        # no token reaches from a letter to a full stop or comma, so these are looked up apart
+        marked = {w for w in words if w[-1:] in STOPS and w[-2:-1].isalpha()}
+        stems = (words - marked) | {w[:-1] for w in marked}
+        new = [w for w in stems if w not in known]
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([lead + w for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+                ids = e.ids
+                known[w] = struct.pack(f"<{len(ids)}I", *ids)
+        for w in marked:
+            if w not in known:
+                known[w] = known[w[:-1]] + self.stops[w[-1]]
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""

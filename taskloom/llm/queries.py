@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskloom.llm import decontamination, language, packing, quality, simhash, toxicity, warc
+from taskloom.llm import decontamination, factors, language, packing, quality, simhash, substrings, toxicity, warc
 from taskloom.llm.common import crc_fold, table
 
 
@@ -22,6 +22,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", held_out, "lang_pred", "score")
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(crc_fold("doc_id", 5) != 0)
@@ -48,17 +52,69 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factors.digest(factors.remove_passages(table(spark, sf_dir, "documents")))
+
+
+OP3_SQL = """
+WITH texts AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS t FROM documents),
+places AS (SELECT doc_id, t, unnest(range(1, length(t) // 2 - 98)) AS p FROM texts WHERE length(t) >= 200),
+windows AS (SELECT doc_id, p, substr(t, 2 * p - 1, 200) AS w FROM places),
+firsts AS (SELECT w, min((doc_id, p)) AS f FROM windows GROUP BY w HAVING count(*) > 1),
+repeats AS (SELECT doc_id, p FROM windows JOIN firsts USING (w) WHERE (doc_id, p) <> f),
+marked AS (SELECT doc_id, p, p - coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -1000) AS step FROM repeats),
+runs AS (SELECT doc_id, p, sum((step > 100)::INT) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM marked),
+spans AS (SELECT doc_id, r, min(p) AS a, max(p) + 99 AS b FROM runs GROUP BY doc_id, r),
+gaps AS (SELECT doc_id, r, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY r), 0) AS before FROM spans),
+gone AS (
+  SELECT doc_id, sum(b - a + 1) AS n_removed, count(*) AS n_spans, max(b) AS last, list(struct_pack(x := before, y := a) ORDER BY r) AS kept
+  FROM gaps GROUP BY doc_id)
+SELECT texts.doc_id, (length(t) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN kept IS NULL THEN t
+    ELSE array_to_string(list_transform(kept, lambda k: substr(t, 2 * k.x + 1, 2 * (k.y - 1 - k.x))), '') || substr(t, 2 * last + 1) END))
+    AS kept_sha256
+FROM texts LEFT JOIN gone ON texts.doc_id = gone.doc_id
+"""
+
+OP8_SQL = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+large AS (SELECT html, max(page_id) AS original FROM payloads WHERE payload_bytes >= 1000 GROUP BY html)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN original <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN original <> page_id THEN original END AS refers_to
+FROM payloads LEFT JOIN large USING (html)
+"""
+
+OP9_SQL = """
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+places AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM texts WHERE len(ws) >= 50),
+windows AS (SELECT doc_id, p, md5_number(array_to_string(ws[p:p + 49], ' ')) AS w FROM places),
+firsts AS (SELECT w, min(doc_id) AS f FROM windows GROUP BY w),
+repeats AS (SELECT doc_id, p FROM windows JOIN firsts USING (w) WHERE doc_id > f),
+gone AS (SELECT doc_id, list(DISTINCT q) AS qs FROM (SELECT doc_id, unnest(range(p, p + 50)) AS q FROM repeats) GROUP BY doc_id)
+SELECT texts.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(qs), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN qs IS NULL THEN ws
+    ELSE list_filter(ws, lambda w, i: NOT list_contains(qs, i)) END, ' ')) AS kept_sha256
+FROM texts LEFT JOIN gone ON texts.doc_id = gone.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_language": op2_language,
+        "op3_substrings": op3_substrings,
         "op4_toxicity": op4_toxicity,
         "op5_quality": op5_quality,
         "op6_simhash": op6_simhash,
         "op7_decontamination": op7_decontamination,
         "op8_warc": op8_warc,
+        "op9_passages": op9_passages,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_substrings": OP3_SQL, "op8_warc": OP8_SQL, "op9_passages": OP9_SQL}
