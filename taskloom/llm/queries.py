@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskloom.llm import decontamination, factors, language, packing, quality, simhash, substrings, toxicity, warc
+from taskloom.llm import decontamination, factors, language, packing, pii, quality, simhash, substrings, toxicity, warc
 from taskloom.llm.common import crc_fold, table
 
 
@@ -56,6 +56,16 @@ def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factors.digest(factors.remove_passages(table(spark, sf_dir, "documents")))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP3_SQL = """
 WITH texts AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS t FROM documents),
 places AS (SELECT doc_id, t, unnest(range(1, length(t) // 2 - 98)) AS p FROM texts WHERE length(t) >= 200),
@@ -113,6 +123,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_decontamination": op7_decontamination,
         "op8_warc": op8_warc,
         "op9_passages": op9_passages,
+        "op10_pii": op10_pii,
+        "pipeline": pipeline,
     }
 
 

@@ -191,3 +191,17 @@ def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
 
     rows = own_columns(docs, "doc_id", "text")
     return rows.mapInArrow(in_batches(run, _BATCH), "doc_id long, score double, predicted int")
+
+
+def clean(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns.
+
+    Scored in place, so nothing is shuffled and repeated rows and ids do not matter.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        row, bucket = _terms(batch)
+        return batch.filter(pa.array(shared.value.logits(row, bucket, batch.num_rows) < 0))
+
+    return docs.mapInArrow(in_batches(run, _BATCH), docs.schema)
