@@ -44,6 +44,11 @@ class SuffixSort:
     def __init__(self, data: np.ndarray, position: np.ndarray, group: np.ndarray, window: int):
         self.data, self.position, self.group, self.window = data, position, group, window
         self.hashes = PrefixHashes(_BYTES[data])
+        self.whole = self.hashes.of(position, window)
+
+    def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether suffixes agree in all of the window."""
+        return self.whole[a] == self.whole[b]
 
     def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common bytes of pairs of positions, at most ``window``."""
@@ -56,10 +61,12 @@ class SuffixSort:
 
     def before(self, a: np.ndarray, b: np.ndarray, tie: np.ndarray) -> np.ndarray:
         """Whether suffix a sorts before suffix b; ``tie`` where they are equal."""
-        a, b = self.position[a], self.position[b]
-        common = self.extension(a, b)
-        at = np.minimum(common, self.window - 1)
-        return np.where(common == self.window, tie, self.data[a + at] < self.data[b + at])
+        out = tie.copy()
+        differ = np.flatnonzero(~self.same(a, b))
+        a, b = self.position[a[differ]], self.position[b[differ]]
+        at = np.minimum(self.extension(a, b), self.window - 1)
+        out[differ] = self.data[a + at] < self.data[b + at]
+        return out
 
     def order(self) -> np.ndarray:
         """Suffix numbers in sorted order; equal ones keep their order."""
@@ -126,8 +133,7 @@ def repeated_windows(groups: list, window: int = WINDOW) -> list[tuple]:
     sort = SuffixSort(data, position, group, window)
     order = sort.order()
     a, b = position[order[:-1]], position[order[1:]]
-    same = group[order[1:]] == group[order[:-1]]
-    same[same] = sort.extension(a[same], b[same]) == window
+    same = (group[order[1:]] == group[order[:-1]]) & sort.same(order[:-1], order[1:])
     if not _equal_bytes(data, a[same], b[same], window).all():
         content = data.tobytes()
         key = [(g, content[p : p + window]) for g, p in zip(group.tolist(), position.tolist())]
