@@ -88,11 +88,17 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
 
 
 def worker_cache(name: str, make: Callable[[], object]):
-    """An object that a Python worker makes once and keeps for its later tasks."""
+    """An object that a Python worker makes once and keeps for its later tasks.
+
+    Only the last two that were asked for are kept, so that workers which serve one operator after
+    another do not gather the tables of all.
+    """
     key = (os.getpid(), name)
-    if key not in _CACHE:
-        _CACHE[key] = make()
-    return _CACHE[key]
+    found = _CACHE.pop(key) if key in _CACHE else make()
+    _CACHE[key] = found
+    while len(_CACHE) > 2:
+        del _CACHE[next(iter(_CACHE))]
+    return found
 
 
 _CACHE: dict = {}

@@ -23,7 +23,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Tokens that a task holds before it packs them; bounds its memory, not its result.
 BLOCK_TOKENS = 4_000_000
 #: Words whose ids a Python worker remembers, about 200 bytes each; then it starts anew.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 1_000_000
 STOPS = (".", ",")
 _UNSAFE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
