@@ -309,7 +309,7 @@ def template_fallback(spark, sf):
     t = templates.template_fallback(_items(spark, sf))
     return t.select(
         "issue_type", "sample_count", "title_template", F.substring_index("description_template", "\n", 1).alias("head"),
-        "confidence_score",
+        F.md5(F.col("description_template").cast("binary")).alias("body_md5"), "confidence_score",
     )
 
 
@@ -737,6 +737,7 @@ ORACLES = {
             WHEN 'Bug' THEN 'Bug: {{issue_description}}' ELSE 'Epic: {{epic_theme}}' END AS title_template,
           CASE issue_type WHEN 'Story' THEN '## User Story' WHEN 'Task' THEN '## Description'
             WHEN 'Bug' THEN '## Summary' ELSE '## Epic Description' END AS head,
+          md5(CASE issue_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in templates.DESCRIPTION_TEMPLATES.items())} END) AS body_md5,
           0.5::DOUBLE AS confidence_score FROM docs GROUP BY 1 HAVING count(*) >= 3""",
     "P33_template_checks": f"""WITH {DOCS}, t AS (SELECT doc_id,
           CASE WHEN doc_id % 3 <> 0 THEN '{{x}} ' || summary ELSE summary END AS title,

@@ -21,12 +21,14 @@ def version_pairs(history: DataFrame, bucket: str = "month", columns: tuple[str,
 
     The predecessor is looked up inside (key, time bucket); only the first row of a bucket
     takes the last row of the key's previous bucket. A key with very many versions is thus
-    split over its buckets. The first version of a key is not in the result.
+    split over its buckets. Versions of one instant are ordered by the columns, then by author,
+    whatever the bucket. The first version of a key is not in the result.
     """
     keep = ["author", *columns]
     rows = history.select("key", "ts", *keep).withColumn("_b", F.date_trunc(bucket, "ts"))
-    last = F.struct("ts", *keep)
-    w = Window.partitionBy("key", "_b").orderBy("ts", *columns)
+    order = ["ts", *columns, "author"]
+    last = F.struct(*order)
+    w = Window.partitionBy("key", "_b").orderBy(*order)
     placed = rows.withColumn("_rn", F.row_number().over(w))
     for c in columns:
         placed = placed.withColumn(f"old_{c}", F.lag(c).over(w))

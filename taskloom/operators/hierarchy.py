@@ -165,7 +165,8 @@ def shown_children(items: DataFrame, roots: DataFrame, k: int = MAX_SHOWN_CHILDR
 def context_tree(keys: DataFrame, items: DataFrame) -> DataFrame:
     """Root, its parent (epic first) and its shown children: one row per known key.
 
-    ``child_keys`` holds at most 50 keys, the size of a context tree.
+    ``child_keys`` holds at most 50 keys, the size of a context tree; ``total_items`` counts
+    the root and all of its children.
     """
     roots = items.join(keys.select("key").distinct(), "key", "left_semi")
     up = F.coalesce(F.when(F.col("epic_key") != "", F.col("epic_key")), F.when(F.col("parent_key") != "", F.col("parent_key")))
@@ -176,14 +177,17 @@ def context_tree(keys: DataFrame, items: DataFrame) -> DataFrame:
         .groupBy(F.col("root").alias("key"))
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "child_key"))), lambda c: c["child_key"]).alias("child_keys"))
     )
+    epics = roots.where(F.col("issue_type") == "Epic").select("key")
+    sizes = items.groupBy(F.col("epic_key").alias("key")).agg(F.count("*").alias("n")).join(epics, "key", "left_semi")
     return (
         named.join(known, "up", "left")
         .join(children, "key", "left")
+        .join(sizes, "key", "left")
         .select(
             "key",
             "issue_type",
             F.when(F.col("known"), F.col("up")).alias("parent_context"),
             F.coalesce("child_keys", F.array().cast("array<string>")).alias("child_keys"),
+            (F.coalesce("n", F.lit(0)) + 1).cast("int").alias("total_items"),
         )
-        .withColumn("total_items", F.size("child_keys") + 1)
     )

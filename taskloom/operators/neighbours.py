@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from taskloom.session import cut_lineage
 
 CELL_ROWS = 2048
+MAX_WIDTHS = 16
 MAX_PIVOTS = 1024
 # up to this many pairs a plain grid of cells is cheaper than the passes that prune it
 GRID_PAIRS = 1_000_000_000
@@ -62,7 +63,10 @@ class Between:
 def _matrix(column: pa.ChunkedArray | pa.Array, rows: int, scale: bool = True) -> np.ndarray:
     """Row vectors of an Arrow list column, by default of length 1; zero vectors stay zero."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    values = np.asarray(flat.flatten(), dtype=np.float64)
+    elements = flat.flatten()
+    if elements.null_count:
+        elements = pc.fill_null(elements, 0.0)
+    values = np.asarray(elements, dtype=np.float64)
     if rows == 0:
         return values.reshape(0, 0)
     m = values.reshape(rows, -1)
@@ -227,8 +231,10 @@ def _choose_pivots(
     wanted = min(MAX_PIVOTS, max(1, math.ceil(n_items / cell_rows)))
     if wanted == 1:
         return None
-    fraction = min(1.0, 2.0 * wanted / n_items)
-    rows = items.select("v").sample(fraction=fraction, seed=7).limit(wanted).collect()
+    # by hash: there may be far fewer distinct vectors than items, and none may be missed
+    rows = items.select("v", F.xxhash64("id").alias("_h")).orderBy("_h").limit(wanted).collect()
+    if len(rows) < 2:
+        return None
     m = np.array([r.v for r in rows], dtype=np.float64)
     return _Pivots(_unit_rows(m) if metric == "angle" else m)
 
@@ -318,6 +324,23 @@ def _prepare(df: DataFrame, id_col: str, vec_col: str, matches: list) -> DataFra
     return df.select(*cols).where("id is not null and v is not null and size(v) > 0")
 
 
+def _one_width(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with vectors of one width: those of different widths get places of their own
+    among zeros, so they are orthogonal and score 0."""
+    both = left.select(F.size("v").alias("n")).unionByName(right.select(F.size("v").alias("n")))
+    widths = sorted(r["n"] for r in both.distinct().limit(MAX_WIDTHS + 1).collect())
+    if len(widths) <= 1:
+        return left, right
+    if len(widths) > MAX_WIDTHS:
+        raise ValueError(f"vectors have more than {MAX_WIDTHS} different widths")
+    total, at, placed = sum(widths), 0, None
+    for n in widths:
+        own = F.concat(F.array_repeat(F.lit(0.0), at), F.col("v"), F.array_repeat(F.lit(0.0), total - at - n))
+        placed = F.when(F.size("v") == n, own) if placed is None else placed.when(F.size("v") == n, own)
+        at += n
+    return left.withColumn("v", placed), right.withColumn("v", placed)
+
+
 def first_copies(items: DataFrame, k: int, extra: list[str] = ()) -> DataFrame:
     """Of the items with the same vector keep the first ``k`` by id.
 
@@ -370,6 +393,7 @@ def top_k(
     i_extra += [group] if group else []
     left = _prepare(queries, query_id, query_vector, q_extra)
     right = _prepare(items, item_id, item_vector, i_extra)
+    left, right = _one_width(left, right)
     right = first_copies(right, k, [f"m{i}" for i in range(len(i_extra))])
     kernel = _top_k_kernel(k, limit, len(match))
     schema = "q string, i string, score double"

@@ -77,19 +77,20 @@ def build_prompts(items: DataFrame, kind: str) -> DataFrame:
 
 
 def cluster_prompts(members: DataFrame, items: DataFrame, show: int = 50) -> DataFrame:
-    """One prompt per cluster from its first ``show`` members by key.
+    """Prompts ``(cluster_id, part, prompt)`` that show all members of each cluster by key.
 
-    The number shown is a limit of the prompt, not of the cluster; the prompt names the
-    full size. Members are numbered before they are gathered, so a gathered list is short.
+    A prompt shows ``show`` members; larger clusters get several, ``part`` from 0, and each names
+    the full size. Members are numbered before they are gathered, so a gathered list is short.
     """
     w = Window.partitionBy("cluster_id").orderBy("key")
     sizes = members.groupBy("cluster_id").agg(F.count("*").alias("size"))
     lines = (
         members.withColumn("i", F.row_number().over(w))
-        .where(F.col("i") <= show)
+        .withColumn("part", F.floor((F.col("i") - 1) / show).cast("int"))
         .join(items.select("key", "summary", "issue_type", "description", "labels"), "key")
         .select(
             "cluster_id",
+            "part",
             "i",
             F.format_string(
                 "Item %d:\nKey: %s\nTitle: %s\nType: %s\nDescription: %s\nLabels: %s",
@@ -103,11 +104,12 @@ def cluster_prompts(members: DataFrame, items: DataFrame, show: int = 50) -> Dat
         )
     )
     return (
-        lines.groupBy("cluster_id")
+        lines.groupBy("cluster_id", "part")
         .agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("lines"))
         .join(sizes, "cluster_id")
         .select(
             "cluster_id",
+            "part",
             F.format_string(
                 "Find the theme, priority, effort, dependencies, impact and approach of %d related items.\n%s",
                 "size",
@@ -118,17 +120,21 @@ def cluster_prompts(members: DataFrame, items: DataFrame, show: int = 50) -> Dat
 
 
 def template_prompts(samples: DataFrame, show: int = 5) -> DataFrame:
-    """One prompt per issue type with at least three samples, showing its first samples by key."""
+    """Prompts ``(issue_type, part, prompt)`` that show all samples of each issue type with at least three.
+
+    A prompt shows ``show`` samples by key; more samples take several prompts, ``part`` from 0.
+    """
     w = Window.partitionBy("issue_type").orderBy("key")
     sizes = samples.groupBy("issue_type").agg(F.count("*").alias("n")).where("n >= 3")
     return (
         samples.withColumn("i", F.row_number().over(w))
-        .where(F.col("i") <= show)
-        .groupBy("issue_type")
+        .withColumn("part", F.floor((F.col("i") - 1) / show).cast("int"))
+        .groupBy("issue_type", "part")
         .agg(F.array_sort(F.collect_list(F.struct("i", _item().alias("text")))).alias("shown"))
         .join(sizes, "issue_type")
         .select(
             "issue_type",
+            "part",
             F.format_string(
                 "Infer a title and description template for %s items from these samples.\n%s",
                 "issue_type",
