@@ -41,7 +41,9 @@ def duck():
 def test_contract(spark):
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries)
-    assert set(queries) - set(oracles) == {"C10_hashed_tfidf"}
+    # the training-data queries have tests of their own, as most of them are no SQL
+    own = {q for q in queries if not re.match(r"op\d+_|pipeline$", q)}
+    assert own - set(oracles) == {"C10_hashed_tfidf"}
     df = entry.entry(spark)
     assert df.columns[0] == "total_candidates" and df.count() == 1
 
@@ -66,7 +68,8 @@ def test_library_keeps_to_its_rules():
             if f.endswith(".py"):
                 code = open(os.path.join(folder, f)).read()
                 assert "crossJoin(" not in code and "localCheckpoint(" not in code, f
-                if re.search(r"\bbroadcast\(", code):
+                # models of a bounded size are broadcast in the optional package
+                if re.search(r"\bbroadcast\(", code) and os.path.basename(folder) != "llm":
                     assert f == "ranks.py", f
 
 
