@@ -25,7 +25,8 @@ BLOCK_TOKENS = 4_000_000
 #: Words whose ids a Python worker remembers, about 200 bytes each; then it starts anew.
 CACHE_WORDS = 1_000_000
 STOPS = (".", ",")
-_UNSAFE = re.compile(r"\s ")
+# a space after another white space; it begins with its literal, so the search is fast
+_UNSAFE = re.compile(r"(?s) (?<=\s.)")
 _CUT = re.compile(r"(?<=\S) ")
 
 PIECE_SCHEMA = (
@@ -119,10 +120,11 @@ class WordTokens:
         if len(self.first) + len(self.later) > CACHE_WORDS:
             self.first, self.later = {}, {}
         cut = [(_CUT.split(t) if _UNSAFE.search(t) else t.split(" ")) for t in batch]
-        self._learn(self.first, {c[0] for c in cut}, "")
-        self._learn(self.later, set().union(*(c[1:] for c in cut)), " ")
+        heads = [c.pop(0) for c in cut]
+        self._learn(self.first, set(heads), "")
+        self._learn(self.later, set().union(*cut), " ")
         get = self.later.__getitem__
-        return [self.first[c[0]] + b"".join(map(get, c[1:])) for c in cut]
+        return [self.first[head] + b"".join(map(get, c)) for head, c in zip(heads, cut)]
 
 
 def _packed(pieces: list[tuple], size: int, spare: int, last: bool) -> tuple[list[list[tuple]], list[tuple]]:
