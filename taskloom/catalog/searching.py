@@ -8,9 +8,11 @@ from taskloom.functions import lexicons as L
 from taskloom.operators import drift as D
 from taskloom.operators import evaluation as E
 from taskloom.operators import retrieval as R
+from taskloom.operators.embeddings import DIMS, fit_idf, hashed_tfidf
 from taskloom.operators.labels import contains_pairs
 from taskloom.operators.query_text import FILTER_COLUMNS, filter_text, query_features
 from taskloom.plans import quality, search
+from taskloom.session import cut_lineage
 from taskloom.sources.driver_tables import document_items, eval_queries, history, table, vector_items
 
 NOW = "2024-02-01 12:00:00"
@@ -39,7 +41,6 @@ def _texts(spark, sf):
     return b.select(
         F.concat(F.lit("Q-"), F.col("item_id").cast("string")).alias("query_id"),
         F.element_at(phrases, (F.col("item_id") % len(PHRASES) + 1).cast("int")).alias("query_text"),
-        "item_id",
     )
 
 
@@ -47,9 +48,15 @@ def _vectors(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
 
 
-def _queries(spark, sf):
-    q = query_features(_texts(spark, sf), NOW)
-    return q.join(_vectors(spark, sf), q.item_id == F.col("vec_id")).drop("vec_id", "item_id")
+def _asked(spark, sf, asks):
+    """(queries, chunks): both with the hashed TF-IDF of their text, weighed by the chunks."""
+    idf = fit_idf(table(spark, sf, "documents"), "text")
+    chunks = cut_lineage(hashed_tfidf(_chunks(spark, sf), "text", idf=idf))
+    return hashed_tfidf(query_features(asks, NOW), "full_text", idf=idf), chunks
+
+
+def _search(spark, sf):
+    return _asked(spark, sf, _texts(spark, sf))
 
 
 def _pick(names, c):
@@ -57,10 +64,10 @@ def _pick(names, c):
 
 
 def _chunks(spark, sf):
-    """One chunk per document with search metadata; documents share the vectors in turn."""
+    """One chunk per document with search metadata."""
     d = table(spark, sf, "documents")
     n = F.col("doc_id")
-    rows = d.select(
+    return d.select(
         F.concat(F.lit("CH-"), n.cast("string")).alias("chunk_id"),
         F.concat(F.lit("DOC-"), n.cast("string")).alias("key"),
         _pick(["Epic", "Story", "Task", "Bug"], n % 4).alias("item_type"),
@@ -73,10 +80,8 @@ def _chunks(spark, sf):
         (n % 3 == 0).alias("has_children"),
         (n % 5).alias("dependency_count"),
         F.col("text"),
-        (n % 500).alias("vec_id"),
         F.timestamp_seconds(F.lit(1704067200) + n * 3600).alias("created"),
     )
-    return rows.join(_vectors(spark, sf), "vec_id").drop("vec_id")
 
 
 def _scope(spark, sf):
@@ -107,26 +112,25 @@ def filters(spark, sf):
 
 
 def semantic(spark, sf):
-    h = R.semantic_search(_queries(spark, sf), _chunks(spark, sf), 15, 0.0)
+    h = R.semantic_search(*_search(spark, sf), 15, 0.0)
     return h.select("query_id", "chunk_id", _r("score").alias("score"), F.col("position").cast("bigint").alias("position"))
 
 
 def semantic_dates(spark, sf):
-    h = R.semantic_search(_queries(spark, sf), _chunks(spark, sf), 15, 0.0, apply_date_range=True)
+    h = R.semantic_search(*_search(spark, sf), 15, 0.0, apply_date_range=True)
     return h.select("query_id", "chunk_id", _r("score").alias("score"), F.col("position").cast("bigint").alias("position"))
 
 
 def final(spark, sf):
-    q = _queries(spark, sf)
-    h = R.final_ranking(R.semantic_search(q, _chunks(spark, sf), 15, 0.0), q)
+    _, _, h = _final(spark, sf)
     return h.select(
         "query_id", "chunk_id", _r("score").alias("score"), F.col("final_position").cast("bigint").alias("final_position")
     )
 
 
 def _final(spark, sf):
-    q = _queries(spark, sf)
-    hits = R.semantic_search(q, _chunks(spark, sf), 15, 0.0)
+    q, chunks = _search(spark, sf)
+    hits = R.semantic_search(q, chunks, 15, 0.0)
     return q, hits, R.final_ranking(hits, q)
 
 
@@ -149,7 +153,7 @@ def recommendations(spark, sf):
 
 
 def answers(spark, sf):
-    a = search.answer(_queries(spark, sf), _chunks(spark, sf), _scope(spark, sf), 15, 0.0)
+    a = search.answer(*_search(spark, sf), _scope(spark, sf), 15, 0.0)
     return a.select(
         "query_id", "intent", "expected_output", F.col("results_count").cast("bigint").alias("results_count"),
         F.col("total_items").cast("bigint").alias("total_items"), F.md5("formatted_context").alias("context_md5"),
@@ -159,12 +163,12 @@ def answers(spark, sf):
 
 def small_context(spark, sf):
     """Context under a small token budget, so that the cut-off is reached."""
-    a = search.answer(_queries(spark, sf), _chunks(spark, sf), _scope(spark, sf), 15, 0.0, max_tokens=800)
+    a = search.answer(*_search(spark, sf), _scope(spark, sf), 15, 0.0, max_tokens=800)
     return a.select("query_id", "token_count", F.md5("formatted_context").alias("context_md5"))
 
 
 def tool(spark, sf):
-    a = search.search_tool(_queries(spark, sf), _chunks(spark, sf), _scope(spark, sf), 15, 0.0)
+    a = search.search_tool(*_search(spark, sf), _scope(spark, sf), 15, 0.0)
     return a.select(
         "query_id", F.array_join("keys", ",").alias("keys"), F.col("results_count").cast("bigint").alias("results_count"),
         F.col("total_items").cast("bigint").alias("total_items"), "filters_applied",
@@ -172,22 +176,20 @@ def tool(spark, sf):
 
 
 def _epic_asks(spark, sf):
-    """One search per document that is an epic, with the document's vector."""
+    """One search per document that is an epic."""
     epics = _scope(spark, sf).where(F.col("issue_type") == "Epic")
     n = F.substring("key", 5, 20).cast("bigint")
-    asks = epics.select(
+    return R.epic_queries(epics.select(
         F.concat(F.lit("E-"), n.cast("string")).alias("query_id"),
         F.col("key").alias("epic_key"),
         F.lit("").alias("query_text"),
-        (n % 500).alias("vec_id"),
-    )
-    q = query_features(R.epic_queries(asks), NOW)
-    return q.join(_vectors(spark, sf), "vec_id").drop("vec_id")
+    ))
 
 
 def in_epic(spark, sf):
-    chunks = _chunks(spark, sf).drop("epic_key").join(_scope(spark, sf).select("key", "epic_key"), "key")
-    a = search.answer_in_epic(_epic_asks(spark, sf), _scope(spark, sf), chunks, 10, 0.0)
+    q, chunks = _asked(spark, sf, _epic_asks(spark, sf))
+    chunks = chunks.drop("epic_key").join(_scope(spark, sf).select("key", "epic_key"), "key")
+    a = search.answer_in_epic(q, _scope(spark, sf), chunks, 10, 0.0)
     return a.select(
         "query_id", "epic_key", F.col("child_count").cast("bigint").alias("child_count"),
         F.col("results_count").cast("bigint").alias("results_count"), F.md5("formatted_context").alias("context_md5"),
@@ -195,7 +197,7 @@ def in_epic(spark, sf):
 
 
 def epic_scope(spark, sf):
-    a = search.answer_in_epic(_epic_asks(spark, sf), _scope(spark, sf))
+    a = search.answer_in_epic(query_features(_epic_asks(spark, sf), NOW), _scope(spark, sf))
     return a.select(
         "query_id", "epic_key", F.col("child_count").cast("bigint").alias("child_count"),
         F.md5("formatted_context").alias("context_md5"),
@@ -204,11 +206,10 @@ def epic_scope(spark, sf):
 
 def debt(spark, sf):
     """The debt search for every team that the chunks name, and for all of them."""
-    chunks = _chunks(spark, sf)
-    teams = chunks.select("team").distinct().unionByName(chunks.limit(1).select(F.lit(None).cast("string").alias("team")))
+    rows = _chunks(spark, sf)
+    teams = rows.select("team").distinct().unionByName(rows.limit(1).select(F.lit(None).cast("string").alias("team")))
     asks = teams.select(F.coalesce("team", F.lit("all")).alias("query_id"), "team")
-    q = query_features(R.debt_queries(asks), NOW).withColumn("vec_id", F.length("query_id").cast("bigint"))
-    a = search.debt_search(q.join(_vectors(spark, sf), "vec_id"), chunks, 20, 0.0)
+    a = search.debt_search(*_asked(spark, sf, R.debt_queries(asks)), 20, 0.0)
     return a.select(
         "query_id", "query_text", F.col("debt_items_found").cast("bigint").alias("debt_items_found"),
         F.array_join("recommendations", "; ").alias("recommendations"),
@@ -216,13 +217,10 @@ def debt(spark, sf):
 
 
 def dependencies(spark, sf):
-    chunks = _chunks(spark, sf)
-    asks = chunks.select("team", "epic_key").distinct().select(
+    asks = _chunks(spark, sf).select("team", "epic_key").distinct().select(
         F.concat_ws("/", "team", "epic_key").alias("query_id"), "team", F.col("epic_key").alias("epic")
     )
-    q = query_features(R.dependency_queries(asks), NOW)
-    q = q.withColumn("vec_id", F.substring_index("epic", "-", -1).cast("bigint"))
-    a = search.dependency_search(q.join(_vectors(spark, sf), "vec_id"), chunks, _scope(spark, sf), 0.0)
+    a = search.dependency_search(*_asked(spark, sf, R.dependency_queries(asks)), _scope(spark, sf), 0.0)
     return a.select(
         "query_id", "query_text", F.col("results_count").cast("bigint").alias("results_count"),
         F.array_join("keys", ",").alias("keys"), "filters_applied",
@@ -539,18 +537,38 @@ featured AS (
 
 
 TEXTS = f"""texts AS (
-  SELECT 'Q-' || item_id AS query_id, [{", ".join(map(_quote, PHRASES))}][item_id % {len(PHRASES)} + 1] AS query_text,
-    item_id AS vec_id FROM benchmark)"""
+  SELECT 'Q-' || item_id AS query_id, [{", ".join(map(_quote, PHRASES))}][item_id % {len(PHRASES)} + 1] AS query_text
+    FROM benchmark)"""
 FEATURES = f"{TEXTS}, {_feature_sql('texts')}"
-CHUNKS = """chunks AS (
+
+
+def vectors_sql(rows, key, text, weights=True):
+    """CTE ``<rows>_v (key, v)``: hashed TF-IDF, weighed by the documents."""
+    n = f"{rows}_n"
+    idf = f"""weights AS (
+  SELECT b, ln(((SELECT count(*) FROM documents) + 1) / (count({key}) + 1)) AS idf
+  FROM (SELECT unnest(range({DIMS})) AS b) LEFT JOIN {n} USING (b) GROUP BY 1),"""
+    return f"""{n} AS (
+  SELECT {key}, ('0x' || left(md5(w), 4))::INT % {DIMS} AS b, count(*) AS n FROM (
+    SELECT {key}, unnest(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS w FROM {rows})
+  WHERE w <> '' GROUP BY 1, 2),
+{idf if weights else ""}
+{rows}_v AS (
+  SELECT {key}, list(coalesce(n, 0) * idf ORDER BY b) AS v
+  FROM (SELECT DISTINCT {key} FROM {rows}) CROSS JOIN weights LEFT JOIN {n} USING ({key}, b) GROUP BY 1)"""
+
+
+QUERY_VECTORS = vectors_sql("featured", "query_id", "full_text", weights=False)
+SCORE = """CASE WHEN list_sum(e.v) > 0 AND list_sum(c.v) > 0 THEN round(list_cosine_similarity(e.v, c.v), 12) ELSE 0 END"""
+CHUNKS = f"""{vectors_sql("documents", "doc_id", "text")}, chunks AS (
   SELECT 'CH-' || doc_id AS chunk_id, 'DOC-' || doc_id AS key, ['Epic', 'Story', 'Task', 'Bug'][doc_id % 4 + 1] AS item_type,
     ['Open', 'In Progress', 'Done', 'Blocked'][(doc_id // 4) % 4 + 1] AS status,
     ['High', 'Medium', 'Low'][doc_id % 3 + 1] AS priority,
     ['Platform', 'Frontend', 'Backend', 'Mobile'][doc_id % 4 + 1] AS team,
     ['platform', 'frontend', 'backend', 'mobile'][doc_id % 4 + 1] AS component, lang, 'PROJ-' || (doc_id % 20) AS epic_key,
     CASE WHEN doc_id % 2 = 0 THEN '2024-01' ELSE '2023-12' END AS created_month, doc_id % 3 = 0 AS has_children,
-    doc_id % 5 AS dependency_count, text, TIMESTAMP '2024-01-01' + to_hours(doc_id) AS created, embedding::DOUBLE[] AS v
-  FROM documents JOIN embeddings ON vec_id = doc_id % 500)"""
+    doc_id % 5 AS dependency_count, text, TIMESTAMP '2024-01-01' + to_hours(doc_id) AS created, v
+  FROM documents JOIN documents_v USING (doc_id))"""
 SCOPE = """scope AS (
   SELECT 'DOC-' || doc_id AS key, ['Epic', 'Story', 'Task', 'Bug'][doc_id % 4 + 1] AS issue_type,
     CASE WHEN doc_id >= 20 THEN 'DOC-' || (doc_id % 20) END AS epic_key FROM documents),
@@ -564,9 +582,9 @@ ctx AS (
 
 def _search_sql(limit=15, extra="TRUE"):
     """CTEs ``found`` (first re-ranking) and ``final`` (second re-ranking)."""
-    return f"""scored AS (
-  SELECT q.query_id, c.chunk_id, round(list_cosine_similarity(e.embedding::DOUBLE[], c.v), 12) AS s
-  FROM featured q JOIN embeddings e USING (vec_id), chunks c
+    return f"""{QUERY_VECTORS}, scored AS (
+  SELECT q.query_id, c.chunk_id, {SCORE} AS s
+  FROM featured q JOIN featured_v e USING (query_id), chunks c
   WHERE (len(item_types) = 0 OR list_contains(item_types, c.item_type))
     AND (len(statuses) = 0 OR list_contains(statuses, c.status))
     AND (len(priorities) = 0 OR list_contains(priorities, c.priority))
@@ -675,12 +693,12 @@ advice AS (
       'Prioritize ' || max(n) FILTER (kind = 'status' AND value = 'Open') || ' open debt items for sprint planning' END)
     AS recommendations FROM patterns p GROUP BY 1)"""
 EPIC_ASKS = """asks AS (
-  SELECT 'E-' || doc_id AS query_id, 'DOC-' || doc_id AS asked_epic, 'Epic DOC-' || doc_id AS query_text, doc_id % 500 AS vec_id
+  SELECT 'E-' || doc_id AS query_id, 'DOC-' || doc_id AS asked_epic, 'Epic DOC-' || doc_id AS query_text
   FROM documents WHERE doc_id % 4 = 0)"""
-IN_EPIC = f"""{EPIC_ASKS}, {_feature_sql('asks')}, {CHUNKS}, {SCOPE},
+IN_EPIC = f"""{EPIC_ASKS}, {_feature_sql('asks')}, {CHUNKS}, {SCOPE}, {QUERY_VECTORS},
 scored AS (
-  SELECT q.query_id, c.chunk_id, round(list_cosine_similarity(e.embedding::DOUBLE[], c.v), 12) AS s
-  FROM featured q JOIN embeddings e USING (vec_id) JOIN scope x ON x.epic_key = q.asked_epic JOIN chunks c ON c.key = x.key),
+  SELECT q.query_id, c.chunk_id, {SCORE} AS s
+  FROM featured q JOIN featured_v e USING (query_id) JOIN scope x ON x.epic_key = q.asked_epic JOIN chunks c ON c.key = x.key),
 found AS (
   SELECT query_id, chunk_id, s AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS position
   FROM scored WHERE s >= 0 QUALIFY position <= 10),
@@ -795,16 +813,16 @@ ORACLES = {
         SELECT query_id, asked_epic AS epic_key, (SELECT len(child_keys) FROM ctx WHERE ctx.key = asked_epic) AS child_count,
           md5(text) AS context_md5 FROM featured JOIN contexts USING (query_id)""",
     "R03_debt_search": f"""WITH texts AS (
-          SELECT q AS query_id, 'technical debt refactoring cleanup code quality maintenance' || t AS query_text,
-            length(q) AS vec_id FROM (SELECT DISTINCT ['Platform', 'Frontend', 'Backend', 'Mobile'][doc_id % 4 + 1] AS q,
+          SELECT q AS query_id, 'technical debt refactoring cleanup code quality maintenance' || t AS query_text
+            FROM (SELECT DISTINCT ['Platform', 'Frontend', 'Backend', 'Mobile'][doc_id % 4 + 1] AS q,
               ' team:' || q AS t FROM documents UNION ALL SELECT 'all', '')),
         {_feature_sql('texts')}, {CHUNKS}, {_search_sql(20)}, {PATTERNS}, {ADVICE}
         SELECT query_id, query_text, (SELECT count(*) FROM final WHERE final.query_id = f.query_id) AS debt_items_found,
           coalesce(recommendations, '') AS recommendations FROM featured f LEFT JOIN advice USING (query_id)""",
     "R04_dependency_search": f"""WITH {CHUNKS}, texts AS (
           SELECT DISTINCT team || '/' || epic_key AS query_id,
-            'blocked depends dependency waiting blocker ' || epic_key || ' ' || team AS query_text,
-            split_part(epic_key, '-', 2)::BIGINT AS vec_id FROM chunks),
+            'blocked depends dependency waiting blocker ' || epic_key || ' ' || team AS query_text
+            FROM chunks),
         {_feature_sql('texts')}, {_search_sql()}, {SCOPE}, {TREES}, {KEYS}
         SELECT query_id, query_text, (SELECT count(*) FROM final WHERE final.query_id = f.query_id) AS results_count,
           coalesce(keys, '') AS keys, filters AS filters_applied FROM featured f LEFT JOIN named USING (query_id)""",

@@ -360,7 +360,9 @@ def cost_series(log: DataFrame, end: str, days: int, by: list[str] | None = None
     """
     by = by or []
     last = F.to_date(F.lit(end))
-    costs = log.groupBy(*by, F.to_date("ts").alias("day")).agg(F.sum("cost").alias("cost"))
+    first, after = (F.date_add(last, d).cast("timestamp") for d in (-days, 1))
+    logged = log.where((F.col("ts") >= first) & (F.col("ts") < after))
+    costs = logged.groupBy(*by, F.to_date("ts").alias("day")).agg(F.sum("cost").alias("cost"))
     keys = log.select(*by).distinct() if by else log.sparkSession.range(1).select()
     calendar = keys.select(*by, F.explode(F.sequence(F.date_sub(last, days), last)).alias("day"))
     return calendar.join(costs, [*by, "day"], "left").withColumn("cost", F.coalesce("cost", F.lit(0.0)))

@@ -106,9 +106,16 @@ def scope_drift(history: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def scope_drift_batch(
-    history: DataFrame, project: str | None = None, start: str | None = None, end: str | None = None
+    history: DataFrame,
+    project: str | None = None,
+    start: str | None = None,
+    end: str | None = None,
+    similarity: Column | None = None,
 ) -> DataFrame:
-    """One row over all items of a project and period: items, drifting items, events, cost."""
+    """One row over all items of a project and period: items, drifting items, events, cost, failures.
+
+    An analysis has failed where the similarity of two filled versions of the item is null.
+    """
     rows = history
     if project:
         rows = rows.where(F.col("key").startswith(f"{project}-"))
@@ -116,13 +123,17 @@ def scope_drift_batch(
         rows = rows.where(F.col("ts") >= F.to_timestamp(F.lit(start)))
     if end:
         rows = rows.where(F.col("ts") <= F.to_timestamp(F.lit(end)))
-    per_key = scope_drift(rows, drift_events(version_pairs(rows)))
+    pairs = version_pairs(rows)
+    old, new = F.col("old_description"), F.col("new_description")
+    score = similarity if similarity is not None else token_overlap(old, new)
+    failed = pairs.where((F.length(old) > 0) & (F.length(new) > 0) & score.isNull()).select("key", F.lit(1).alias("_failed"))
+    per_key = scope_drift(rows, drift_events(pairs, similarity)).join(failed.distinct(), "key", "left")
     return per_key.agg(
         F.count("*").alias("total_items_processed"),
         F.count_if("has_drift").alias("items_with_drift"),
         F.coalesce(F.sum("drift_events"), F.lit(0)).alias("drift_events"),
         F.coalesce(F.sum("analysis_cost"), F.lit(0.0)).alias("total_cost"),
-        F.lit(0).cast("bigint").alias("failed_analyses"),
+        F.count("_failed").alias("failed_analyses"),
     )
 
 

@@ -281,10 +281,13 @@ def trend_b(series: DataFrame, value: str, order: str = "ts", by: list[str] | No
     by = by or []
     up = Window.partitionBy(*by).orderBy(F.col(order).asc())
     down = Window.partitionBy(*by).orderBy(F.col(order).desc())
-    rows = series.withColumn("_u", F.row_number().over(up)).withColumn("_d", F.row_number().over(down))
-    change = F.avg(F.when(F.col("_d") <= 3, F.col(value))) - F.avg(F.when(F.col("_u") <= 3, F.col(value)))
-    return rows.groupBy(*by).agg(
-        cases([(F.count("*") < 2, "stable"), (change > 0.05, "improving"), (change < -0.05, "declining")], "stable").alias(
+    first = series.withColumn("_n", F.row_number().over(up)).where("_n <= 3").select(*by, "_n", F.col(value).alias("_first"))
+    last = series.withColumn("_n", F.row_number().over(down)).where("_n <= 3").select(*by, F.col(value).alias("_last"))
+    # each side has three rows a group, whatever the length of the series
+    sides = first.unionByName(last, allowMissingColumns=True)
+    change = F.avg("_last") - F.avg("_first")
+    return sides.groupBy(*by).agg(
+        cases([(F.count("_n") < 2, "stable"), (change > 0.05, "improving"), (change < -0.05, "declining")], "stable").alias(
             "trend"
         )
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +51,7 @@ def ordered_children(items: DataFrame, epics: DataFrame) -> DataFrame:
     return epic_children(items, epics).orderBy("epic", "created", "key")
 
 
-def descendants(items: DataFrame, roots: DataFrame, max_levels: int = 1000) -> DataFrame:
+def descendants(items: DataFrame, roots: DataFrame) -> DataFrame:
     """All items below each root: ``(root, key, level)``, each once at its first level.
 
     Level by level join of the frontier with the child edges; pairs seen before are left
@@ -58,7 +60,7 @@ def descendants(items: DataFrame, roots: DataFrame, max_levels: int = 1000) -> D
     edges = cut_lineage(child_edges(items))
     frontier = cut_lineage(roots.select(F.col("key").alias("root"), "key").distinct())
     seen, found = frontier, None
-    for level in range(1, max_levels + 1):
+    for level in count(1):
         step = (
             frontier.join(edges, frontier.key == edges.parent)
             .select("root", F.col("child").alias("key"))
@@ -71,8 +73,6 @@ def descendants(items: DataFrame, roots: DataFrame, max_levels: int = 1000) -> D
         rows = frontier.withColumn("level", F.lit(level))
         found = rows if found is None else found.unionByName(rows)
         seen = seen.unionByName(frontier)
-    else:
-        raise ValueError(f"hierarchy is deeper than {max_levels} levels")
     return found if found is not None else frontier.withColumn("level", F.lit(0))
 
 
