@@ -18,6 +18,8 @@ EDIT_RATE = 0.05
 MIN_CHARS = 24
 #: Bytes of passages that are searched for at once; more passages take more passes.
 BLOCK_BYTES = 4_000_000
+#: Shared q-grams that are counted at once; their number is bounded by memory, not by the texts.
+PART_HITS = 1_000_000
 _FILTER_BITS = 24
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = 32
@@ -148,15 +150,23 @@ def _search(index: PassageIndex, given: list[str], q: int) -> list[tuple[int, in
     at, first, n = at[n > 0], first[n > 0], n[n > 0]
     if not len(at):
         return []
-    entry = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    where = np.repeat(at, n)
-    passage, diagonal = index.passage[entry], where - index.offset[entry]
-    step = index.budgets[passage] + 1
-    row = np.searchsorted(starts, where, side="right") - 1
-    # overlapping bands of twice the width that edits can move an occurrence
-    band = np.concatenate([diagonal // step, diagonal // step - 1])
-    keys = np.stack([np.tile(row, 2), np.tile(passage, 2), band], axis=1)
-    keys, counts = np.unique(keys, axis=0, return_counts=True)
+    step = index.budgets + 1
+    # q-grams that many passages share are dealt out in bounded parts, whose counts are added up
+    counted = []
+    for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(n) // PART_HITS)) + 1):
+        repeats, begins = n[part], first[part]
+        entry = np.repeat(begins - (np.cumsum(repeats) - repeats), repeats) + np.arange(repeats.sum())
+        where = np.repeat(at[part], repeats)
+        passage = index.passage[entry]
+        # overlapping bands of twice the width that edits can move an occurrence
+        band = (where - index.offset[entry]) // step[passage]
+        row = np.searchsorted(starts, where, side="right") - 1
+        keys = np.stack([np.tile(row, 2), np.tile(passage, 2), np.concatenate([band, band - 1])], axis=1)
+        counted.append(np.unique(keys, axis=0, return_counts=True))
+    keys, counts = counted[0]
+    if len(counted) > 1:
+        keys, of = np.unique(np.concatenate([k for k, _ in counted]), axis=0, return_inverse=True)
+        counts = np.bincount(of.ravel(), weights=np.concatenate([c for _, c in counted]))
     lengths = np.array([len(p) for p in index.passages])
     need = lengths[keys[:, 1]] - q + 1 - index.budgets[keys[:, 1]] * q
     keys = keys[counts >= need]

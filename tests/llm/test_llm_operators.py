@@ -249,6 +249,18 @@ def edit_distance_inside(passage, text):
     return min(row)
 
 
+def test_shared_qgrams_are_counted_in_parts(monkeypatch):
+    common = "which of the following statements about the river is true "
+    passages = [(i, common + f"when item number {i} is taken into account by the reader") for i in range(40)]
+    texts = [f"some words before {passages[k][1]} and {common * 3} after" for k in (3, 17)] + [common * 5, ""]
+    index = decontamination.PassageIndex.build(passages, decontamination.Q, decontamination.EDIT_RATE)
+    whole = decontamination._search(index, texts, decontamination.Q)
+    assert {(r, p) for r, p, *_ in whole} >= {(0, 3), (1, 17)}
+    for hits in (1, 7, 100):
+        monkeypatch.setattr(decontamination, "PART_HITS", hits)
+        assert decontamination._search(index, texts, decontamination.Q) == whole
+
+
 def test_passages_of_a_benchmark(spark):
     plain = lambda t: re.sub(r"[\W_]+", " ", t.lower()).strip()
     items = [(k, prose(30 + k, 14)) for k in range(6)] + [(9, prose(30, 14)), (10, None), (11, "short"), (None, "")]
