@@ -16,7 +16,7 @@ from taskloom.llm.common import in_batches, own_columns, worker_cache, written
 from taskloom.llm.words import Words
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Documents of each language that the models are fitted on, at most.
+#: Distinct texts of each language that the models are fitted on, about, at most.
 TRAIN_DOCS = 2_000
 #: Languages that are learned, at most: those with the most documents.
 MAX_LANGUAGES = 200
@@ -146,22 +146,26 @@ def fit(
 ) -> LanguageModel:
     """Piece probabilities of each language by expectation maximisation over word counts.
 
-    Takes a bounded sample: at most about ``train_docs`` documents of each language, chosen by a
-    hash of the text, and the ``MAX_LANGUAGES`` languages with the most documents. Rows with a
-    null text or language are left out. Words are counted and expected counts are summed by
+    Takes a bounded sample: at most about ``train_docs`` distinct texts of each language, chosen by
+    a hash of the text, and the ``MAX_LANGUAGES`` languages with the most documents. Copies of a
+    text count once. Rows with a null text or language are left out. Words are counted and expected counts are summed by
     Spark; the driver receives one number for each piece and language.
     """
     path = vocabulary_path or public_tokenizers.path(VOCABULARY)
     labelled = own_columns(docs, "text", "lang").where("text is not null and lang is not null")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    labelled = labelled.withColumn("hash", F.xxhash64("text"))
+    distinct = labelled.groupBy("lang", "hash").agg(F.count("*").alias("rows"))
+    sizes = distinct.groupBy("lang").agg(F.sum("rows").alias("rows"), F.count("*").alias("texts"))
+    sizes = sizes.orderBy(F.desc("rows"), "lang").limit(MAX_LANGUAGES).collect()
     languages = sorted(r["lang"] for r in sizes)
     vocabulary = Vocabulary(path)
     probability = np.zeros((len(vocabulary) + 1, len(languages)))
     probability[:-1] = 1.0 / len(vocabulary)
     if not languages:
         return LanguageModel([], probability, path)
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, train_docs / r["count"]))])
-    chosen = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")] * float(1 << 20))
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, train_docs / r["texts"]))])
+    chosen = labelled.where(F.pmod("hash", F.lit(1 << 20)) < share[F.col("lang")] * float(1 << 20))
+    chosen = chosen.dropDuplicates(["lang", "hash"]).select("text", "lang")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = Words(batch)
