@@ -269,7 +269,8 @@ def find_passages(
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark passage, with all their columns.
 
-    Rows with a null ``doc_id`` are judged together: one that leaks takes the others along.
+    Each row is judged by its own text, named by its hash; ids may be null or repeated.
     """
-    leaks = find_passages(docs, benchmark, **options).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    hashed = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    leaks = find_passages(hashed, benchmark, **options).select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.join(leaks, F.xxhash64("text") == F.col("_leak"), "left_anti")
