@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskloom.llm import decontamination, factors, language, packing, pii, quality, simhash, substrings, toxicity, warc
+from taskloom.llm import (
+    decontamination,
+    factors,
+    filter_audit,
+    language,
+    packing,
+    pii,
+    quality,
+    simhash,
+    substrings,
+    toxicity,
+    warc,
+)
 from taskloom.llm.common import crc_fold, table
 
 
@@ -60,6 +72,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.failure_masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -111,6 +127,44 @@ SELECT texts.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(qs), 0)::BIGINT AS
 FROM texts LEFT JOIN gone ON texts.doc_id = gone.doc_id
 """
 
+OP12_SQL = """
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM texts GROUP BY t),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+masked AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (len(ws) < 50)::INT + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS mask
+  FROM texts LEFT JOIN firsts USING (t) LEFT JOIN marks USING (doc_id)),
+masks AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM masked GROUP BY part, mask),
+letters(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, unnest([
+    {'step': 1, 'bit': a.bit, 'seen': 0},
+    {'step': 2, 'bit': b.bit, 'seen': a.bit},
+    {'step': 3, 'bit': c.bit, 'seen': a.bit + b.bit},
+    {'step': 4, 'bit': d.bit, 'seen': a.bit + b.bit + c.bit},
+    {'step': 5, 'bit': e.bit, 'seen': a.bit + b.bit + c.bit + d.bit}], recursive := true)
+  FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (mask & (seen | bit) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (mask & seen = 0 AND mask & bit > 0), 0) AS removed,
+    coalesce(sum(n) FILTER (mask & seen > 0 AND mask & bit > 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (mask & seen = 0 AND mask & bit > 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & seen = 0 AND mask & bit > 0), 0) AS toxic_lost
+  FROM masks CROSS JOIN orders GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM steps
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -124,9 +178,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_passages": op9_passages,
         "op10_pii": op10_pii,
+        "op12_filter_audit": op12_filter_audit,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substrings": OP3_SQL, "op8_warc": OP8_SQL, "op9_passages": OP9_SQL}
+    return {"op3_substrings": OP3_SQL, "op8_warc": OP8_SQL, "op9_passages": OP9_SQL, "op12_filter_audit": OP12_SQL}
