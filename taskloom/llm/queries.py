@@ -18,6 +18,7 @@ from taskloom.llm import (
     simhash,
     substrings,
     toxicity,
+    turn_repair,
     warc,
 )
 from taskloom.llm.common import crc_fold, table
@@ -76,6 +77,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.failure_masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return turn_repair.repair(given, turn_repair.damaged(given))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -179,6 +185,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_passages": op9_passages,
         "op10_pii": op10_pii,
         "op12_filter_audit": op12_filter_audit,
+        "op13_turn_repair": op13_turn_repair,
         "pipeline": pipeline,
     }
 
