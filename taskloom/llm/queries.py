@@ -15,6 +15,7 @@ from taskloom.llm import (
     packing,
     pii,
     quality,
+    secrets,
     simhash,
     substrings,
     toxicity,
@@ -73,6 +74,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.failure_masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
@@ -184,6 +189,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_passages": op9_passages,
         "op10_pii": op10_pii,
+        "op11_secrets": op11_secrets,
         "op12_filter_audit": op12_filter_audit,
         "op13_turn_repair": op13_turn_repair,
         "pipeline": pipeline,
