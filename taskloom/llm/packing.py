@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import re
-import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from taskloom.llm.common import texts, text_batches, worker_cache
+from taskloom.llm.common import text_batches, worker_cache
 
 SEQUENCE_TOKENS = 2048
 END_ID = 1
@@ -22,11 +25,16 @@ SPARE_TOKENS = 16
 VOCABULARY = "byte_bpe_50k.json"
 #: Tokens that a task holds before it packs them; bounds its memory, not its result.
 BLOCK_TOKENS = 4_000_000
-#: Words whose ids a Python worker remembers, about 200 bytes each; then it starts anew.
-CACHE_WORDS = 1_000_000
-STOPS = (".", ",")
-# a space after another white space; it begins with its literal, so the search is fast
-_UNSAFE = re.compile(r"(?s) (?<=\s.)")
+#: Words whose ids a Python worker remembers between batches, about 200 bytes each; then it starts anew.
+CACHE_WORDS = 200_000
+#: How a byte-level vocabulary writes a space.
+BYTE_SPACE = "\u0120"
+#: White space before a space: such a text is cut only behind other characters.
+UNSAFE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
+#: Characters below it are Latin.
+COMMON = "\u0250"
+#: The words of byte-level vocabularies, as their pre-tokeniser cuts them.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = re.compile(r"(?<=\S) ")
 
 PIECE_SCHEMA = (
@@ -87,44 +95,122 @@ def best_fit_decreasing(lengths: list[int], size: int) -> list[list[int]]:
     return windows
 
 
+def fast_encoder(path: str) -> Callable[[str], list[int]] | None:
+    """An encoder of ordinary text with the same ids, or None if the vocabulary does not allow one.
+
+    Where ids follow the order of the merges, ranked byte pairs give the ids of the merges.
+    """
+    model = json.loads(Path(path).read_text())["model"]
+    merges = [m if isinstance(m, str) else "".join(m) for m in model["merges"]]
+    if [model["vocab"].get(m.replace(" ", "")) for m in merges] != list(range(256, 256 + len(merges))):
+        return None
+    # byte-level vocabularies write printable bytes as they are and number the others from 256
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
+    ranks = {bytes(map(byte_of.__getitem__, t)): k for t, k in model["vocab"].items() if k < 256 + len(merges)}
+    return tiktoken.Encoding("words", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class WordTokens:
     """Token ids of whole texts, word by word: a text may be cut before any space that follows
-    a non-space, because no token reaches over such a place; words already seen are looked up."""
+    a non-space, because no token reaches over such a place. Distinct words of a batch are
+    looked up, unknown ones are tokenised many at a time, and the ids are gathered by number.
+    A text that holds the string of an added token is tokenised as a whole."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.stops = {c: self._ids(c) for c in STOPS}
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
-        # no token reaches from a letter to a full stop or comma, so these are looked up apart
-        marked = {w for w in words if w[-1:] in STOPS and w[-2:-1].isalpha()}
-        stems = (words - marked) | {w[:-1] for w in marked}
-        new = [w for w in stems if w not in known]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([lead + w for w in part], add_special_tokens=False)):
-                ids = e.ids
-                known[w] = struct.pack(f"<{len(ids)}I", *ids)
-        for w in marked:
-            if w not in known:
-                known[w] = known[w[:-1]] + self.stops[w[-1]]
-
-    def encode(self, batch: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.first) + len(self.later) > CACHE_WORDS:
-            self.first, self.later = {}, {}
-        cut = [(_CUT.split(t) if _UNSAFE.search(t) else t.split(" ")) for t in batch]
-        heads = [c.pop(0) for c in cut]
-        self._learn(self.first, set(heads), "")
-        self._learn(self.later, set().union(*cut), " ")
-        get = self.later.__getitem__
-        return [self.first[head] + b"".join(map(get, c)) for head, c in zip(heads, cut)]
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.starts_word = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.starts_word[k] = token.startswith(BYTE_SPACE)
+        self.fast = fast_encoder(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, dtype="<u4")
+        self.start = np.zeros(1, dtype=np.int64)
+
+    def _plain(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _ids_of(self, words: list[str], encode: Callable[[str], list[int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, length of each word) of runs of words that begin with their only space."""
+        for k in range(0, len(words), 4096):
+            part = words[k : k + 4096]
+            ids = np.array(encode("".join(part)), dtype="<u4")
+            at = np.flatnonzero(self.starts_word[ids])
+            if len(at) == len(part) and not at[0]:
+                yield ids, np.diff(np.append(at, len(ids)))
+            else:
+                each = [self._plain(w) for w in part]
+                yield np.array([i for e in each for i in e], dtype="<u4"), np.array([len(e) for e in each])
+
+    def _learn(self, words: list[str]) -> None:
+        # words that end in white space, or have none before them, are not run together with others
+        joined = [w for w in words if w[:1] == " " and not w[-1].isspace()]
+        rest = [w for w in words if w[:1] != " " or w[-1].isspace()]
+        common, rare = [], joined
+        if self.fast:  # letters are classed alike by both encoders where Unicode has long been stable
+            common, rare = [w for w in joined if max(w) < COMMON], [w for w in joined if max(w) >= COMMON]
+        joined = common + rare
+        found = [*self._ids_of(common, self.fast), *self._ids_of(rare, self._plain)]
+        for k in range(0, len(rest), 4096):
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(rest[k : k + 4096], add_special_tokens=False)]
+            found.append((np.array([i for e in each for i in e], dtype="<u4"), np.array([len(e) for e in each], dtype=np.int64)))
+        known = len(self.number)
+        self.number.update(zip(joined + rest, range(known, known + len(words))))
+        ids, lengths = (np.concatenate(x) for x in zip(*found))
+        end = int(self.start[-1])
+        if end + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(end + len(ids), dtype="<u4")])
+        self.ids[end : end + len(ids)] = ids
+        self.start = np.append(self.start, end + np.cumsum(lengths))
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        new = [w for w in dict.fromkeys(words) if w not in self.number]
+        if new:
+            self._learn(new)
+        return np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def _gathered(self, words: pa.Array, starts: np.ndarray) -> list[np.ndarray]:
+        """The ids of rows of words; ``starts`` has the first word of each row and, last, their number."""
+        coded = words.dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.number) > CACHE_WORDS:
+            self._forget()
+        heads = [distinct[c] for c in code[starts[:-1]]]
+        number = self._numbers([" " + w for w in distinct])[code]
+        number[starts[:-1]] = self._numbers(heads)
+        length = np.diff(self.start)[number]
+        total = np.concatenate([[0], np.cumsum(length)])
+        ids = self.ids[np.arange(total[-1]) + np.repeat(self.start[number] - total[:-1], length)]
+        return [ids[total[a] : total[b]] for a, b in zip(starts[:-1], starts[1:])]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        count = len(texts)
+        whole = np.zeros(count, dtype=bool)
+        for content in self.added:
+            whole |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        unsafe = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False) & ~whole
+        found: list = [None] * count
+        for i in np.flatnonzero(whole):
+            found[i] = np.array(self._plain(texts[i].as_py()), dtype="<u4")
+        for rows in (np.flatnonzero(~unsafe & ~whole), np.flatnonzero(unsafe)):
+            if not len(rows):
+                continue
+            part = texts.take(pa.array(rows))
+            if unsafe[rows[0]]:
+                cut = pa.array([_CUT.split(t) for t in part.to_pylist()], pa.list_(pa.string()))
+            else:
+                cut = pc.split_pattern(part, " ")
+            starts = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+            for i, ids in zip(rows, self._gathered(cut.flatten(), starts)):
+                found[i] = ids
+        return found
 
 
 def _packed(pieces: list[tuple], size: int, spare: int, last: bool) -> tuple[list[list[tuple]], list[tuple]]:
@@ -222,10 +308,10 @@ def pack(
         held: list[tuple] = []
         tokens = 0
         for batch in text_batches(batches):
-            ids_of = words.encode(texts(batch))
+            ids_of = words.encode(pc.fill_null(batch.column(batch.schema.get_field_index("text")), ""))
             whole = []
             for doc, ids in zip(batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), ids_of):
-                ids += end
+                ids = ids.tobytes() + end
                 n = len(ids) // 4
                 for start in range(0, n, size):
                     piece = (doc, start, ids[4 * start : 4 * (start + size)], n)
