@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taskloom.llm.common import in_batches, own_columns, texts
+from taskloom.llm.common import in_batches, own_columns, texts, written
 from taskloom.llm.words import Words
 
 BUCKETS = 1 << 16
@@ -19,6 +19,8 @@ BUCKETS = 1 << 16
 PRIOR = 2.0 * BUCKETS
 #: Mean log-likelihood ratio an n-gram that a document needs at least.
 THRESHOLD = -0.1
+#: Target ids that tasks hold at once, 32 MB.
+BLOCK_IDS = 4_000_000
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 REPEAT_WINDOW = 8
@@ -85,37 +87,60 @@ class NgramRatio:
     ratio: np.ndarray
 
 
-def _bucket_counts(docs: DataFrame) -> DataFrame:
+def _bucket_counts(docs: DataFrame, targets: np.ndarray, with_raw: bool) -> np.ndarray:
+    """n-grams by bucket, of the documents whose id is among the sorted ``targets`` and of all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(targets)
+
     def count(batches):
-        total = np.zeros(BUCKETS, dtype=np.int64)
+        ids = shared.value
+        total = np.zeros((2, BUCKETS), dtype=np.int64)
 
         def add(batch):
-            nonlocal total
-            total += np.bincount(hashed_ngrams(Words(batch))[1], minlength=BUCKETS)
+            doc = pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(ids, doc), max(len(ids) - 1, 0))
+            wanted = (ids[at] == doc) & pc.is_valid(batch.column(0)).to_numpy(zero_copy_only=False) if len(ids) else np.zeros(len(doc), bool)
+            if not with_raw:
+                batch = batch.filter(pa.array(wanted))
+                wanted = wanted[wanted]
+            row, bucket = hashed_ngrams(Words(batch))
+            total[0] += np.bincount(bucket[wanted[row]], minlength=BUCKETS)
+            total[1] += np.bincount(bucket, minlength=BUCKETS)
 
         for _ in in_batches(add, _BATCH)(batches):
             pass
-        bucket = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(total[bucket])], names=["bucket", "n"])
+        bucket = np.flatnonzero(total.any(axis=0))
+        columns = [pa.array(bucket, pa.int32()), pa.array(total[0, bucket]), pa.array(total[1, bucket])]
+        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "target", "raw"])
 
-    rows = docs.select("text").mapInArrow(count, "bucket int, n long")
-    return rows.groupBy("bucket").agg(F.sum("n").alias("n"))
+    rows = docs.mapInArrow(count, "bucket int, target long, raw long")
+    found = rows.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toPandas()
+    counts = np.zeros((2, BUCKETS))
+    counts[0, found["bucket"]] = found["target"]
+    counts[1, found["bucket"]] = found["raw"]
+    shared.destroy()
+    return counts
 
 
-def fit(docs: DataFrame, trusted: DataFrame) -> NgramRatio:
+def fit(docs: DataFrame, trusted: DataFrame, block_ids: int = BLOCK_IDS) -> NgramRatio:
     """Bucket probabilities of the trusted target and of the raw corpus, over all their texts.
 
     ``docs`` has ``doc_id`` and ``text``, ``trusted`` a ``doc_id`` for each target document (null
     and repeated ids do not matter). Each task counts its own n-grams into a fixed number of
-    buckets, so what is shuffled and collected does not depend on hot words. Without target or
+    buckets, so what is shuffled and collected does not depend on hot words, and no text is
+    shuffled: the target ids go to the tasks in blocks of about ``block_ids``, 8 bytes each. One scan counts
+    the corpus and the first block, each further block is a scan of its own. Without target or
     corpus every ratio is 0.
     """
-    rows = own_columns(docs, "doc_id", "text")
-    target = rows.join(trusted.select("doc_id").dropna().distinct(), "doc_id", "left_semi")
+    rows = own_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    ids = written(trusted.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct())
+    blocks = max(1, -(-ids.count() // block_ids))
     counts = np.zeros((2, BUCKETS))
-    for k, part in enumerate((target, rows)):
-        found = _bucket_counts(part).toPandas()
-        counts[k, found["bucket"]] = found["n"]
+    for k in range(blocks):
+        block = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == k).toPandas()["doc_id"].to_numpy(dtype=np.int64)
+        found = _bucket_counts(rows, np.sort(block), with_raw=k == 0)
+        counts[0] += found[0]
+        if k == 0:
+            counts[1] = found[1]
     if not counts[0].sum() or not counts[1].sum():
         return NgramRatio(np.zeros(BUCKETS))
     raw = (counts[1] + 1.0) / (counts[1] + 1.0).sum()
