@@ -90,15 +90,19 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
 def worker_cache(name: str, make: Callable[[], object]):
     """An object that a Python worker makes once and keeps for its later tasks.
 
-    Only the last two that were asked for are kept, so that workers which serve one operator after
-    another do not gather the tables of all.
+    A worker serves one operator after another: what a module's ``make`` has left goes when another
+    module asks, and of one module only the last two objects stay.
     """
-    key = (os.getpid(), name)
-    found = _CACHE.pop(key) if key in _CACHE else make()
-    _CACHE[key] = found
+    global _OWNER
+    if _OWNER != (os.getpid(), make.__module__):
+        _CACHE.clear()
+        _OWNER = os.getpid(), make.__module__
+    found = _CACHE.pop(name) if name in _CACHE else make()
+    _CACHE[name] = found
     while len(_CACHE) > 2:
         del _CACHE[next(iter(_CACHE))]
     return found
 
 
 _CACHE: dict = {}
+_OWNER: tuple[int, str] | None = None
