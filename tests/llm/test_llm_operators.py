@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -115,11 +116,25 @@ def test_suffix_sort_orders_like_bytes():
     assert order.tolist() == sorted(range(len(position)), key=lambda i: (group[i], raw[i : i + 32], i))
 
 
+def test_word_tokens_are_the_tokenizers_ids():
+    """Every id of the plain call, over white space of all kinds, added tokens and rare letters, in small batches."""
+    words = packing.WordTokens(public_tokenizers.path("byte_bpe_50k.json"))
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(8)
+    bits = [" ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "\u3000", "\u2009", "a", "The", "'s", " don't", "é", "ö", "12", "!", "...",
+            "<|endoftext|>", "<|endof", "x", "日本語", "ไทย", "😀", "ab cd", ".", ",", "\u0301", "ǅ", "ʰ", "٣"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(20))) for _ in range(6000)]
+    for k in range(0, len(texts), 500):
+        part = texts[k : k + 500]
+        expected = [e.ids for e in plain.encode_batch(part, add_special_tokens=False)]
+        assert [ids.tolist() for ids in words.encode(pa.array(part))] == expected
+
+
 def test_packing_round_trip(spark, odd_rows):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = [*odd_rows, (20, "a. b, c.\n d ,. .. x1. é,    z. <|endoftext|> don't", "en")]
     pieces = packing.pack(frame(spark, rows), sequence_tokens=256, block_tokens=2_000).collect()
-    documents = sorted(tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]) for _, t, _ in rows[:-1])
+    documents = sorted(tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]) for _, t, _ in rows)
     by_place, sequences = {}, {}
     for p in pieces:
         assert len(p["ids"]) == 4 * p["length"] > 0
@@ -134,11 +149,11 @@ def test_packing_round_trip(spark, odd_rows):
             assert [p["start"] for p in own] == list(np.cumsum([0, *[p["length"] for p in own]])[:-1])
             ids = np.frombuffer(b"".join(bytes(p["ids"]) for p in own), "<u4")
             rebuilt.append((own[0]["doc_id"], tuple(ids.tolist())))
-    once = {i for i, _, _ in rows[:-1] if [r[0] for r in rows].count(i) == 1}
+    once = {i for i, _, _ in rows if [r[0] for r in rows].count(i) == 1}
     assert sorted(ids for i, ids in rebuilt if i in once) == sorted(
-        tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]) for i, t, _ in rows[:-1] if i in once
+        tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]) for i, t, _ in rows if i in once
     )
-    assert len(documents) == len(rows) - 1
+    assert len(documents) == len(rows)
     for own in sequences.values():
         own.sort(key=lambda p: p["offset"])
         assert [p["offset"] for p in own] == list(np.cumsum([0, *[p["length"] for p in own]])[:-1])
@@ -399,6 +414,45 @@ def test_quality_counts_equal_brute_force(spark, odd_rows):
     assert none.count() == 0
 
 
+@pytest.mark.parametrize("block_ids", [2, 1000])
+def test_quality_ratio_and_verdict_equal_brute_force(spark, block_ids):
+    rng = random.Random(4)
+    good, bad = vocabulary(11, 40), vocabulary(12, 40)
+    rows = [(i, prose(i, rng.choice([5, 25, 60]), good if i % 3 else bad), "en") for i in range(60)]
+    rows += [(i, None, "en") for i in (60, 61)] + [(None, prose(70, 30, bad), "en"), (5, prose(71, 30, good), "en")]
+    targets = [i for i in range(20) if i % 3] + [60, 1000]
+    docs, trusted = frame(spark, rows), spark.createDataFrame([(i,) for i in [*targets, 1, None]], "doc_id long")
+    threshold = 0.0  # a corpus this small moves the ratio little
+    got = quality.judge(docs, quality.fit(docs, trusted, block_ids), threshold).collect()
+
+    mask = 2**64 - 1
+    a, b = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+    def mix(h):
+        h = ((h ^ (h >> 31)) * b) & mask
+        return h ^ (h >> 29)
+
+    def grams(text):
+        h = [xxhash.xxh64_intdigest(w.encode()) for w in re.findall(SPACE, text or "")]
+        return [mix(x) % quality.BUCKETS for x in h] + [mix((x * a + y) & mask) % quality.BUCKETS for x, y in zip(h, h[1:])]
+
+    counts = np.zeros((2, quality.BUCKETS))
+    for i, t, _ in rows:
+        for g in grams(t):
+            counts[1, g] += 1
+            counts[0, g] += i in targets
+    raw = (counts[1] + 1) / (counts[1] + 1).sum()
+    ratio = np.log((counts[0] + quality.PRIOR * raw) / (counts[0].sum() + quality.PRIOR) / raw)
+    expected = []
+    for i, t, _ in rows:
+        found = grams(t)
+        mean = float(np.mean(ratio[found])) if found else 0.0
+        expected.append((i if i is not None else -1, round(mean, 9), mean >= threshold))
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, round(r["ratio"], 9), r["ratio"] >= threshold) for r in got) == sorted(expected)
+    assert all(r["kept"] == (not r["base_failed"] and r["ratio"] >= threshold) for r in got)
+    assert len({r["kept"] for r in got if not r["base_failed"]}) == 2
+
+
 def test_segmentations_are_summed():
     vocabulary_ = language.Vocabulary(public_tokenizers.path(language.VOCABULARY))
     rng = np.random.default_rng(2)
