@@ -1,25 +1,25 @@
 """Exact nearest-neighbour joins between two tables of vectors.
 
-The join never pairs rows in the JVM. Rows are routed to cells of bounded size, every
-cell is one matrix product inside an Arrow task, and a cell emits only what can still
-be part of the answer:
+The join never pairs rows in the JVM. Items are packed into blocks of similar vectors
+(``blocks``), a query is copied to the blocks that may hold something near enough, and every
+cell of a block and its visitors is one matrix product inside an Arrow task, which emits
+only what can still be part of the answer:
 
 * ``top_k``: per query the best ``k`` items of the cell, ranked again per query at the end;
 * ``linked_components``: star edges of the cell's ``similarity >= threshold`` graph,
   which keep its connectivity without listing its pairs.
 
-Routing is exact. Items belong to the pivot they are closest to (angles obey the
-triangle inequality), so a query has to visit only the pivots whose ball can hold an
-item within its search angle. That angle comes from the threshold and, for ``top_k``,
-from the k-th score found in the query's own cell. Cells that hold more rows than
-``cell_rows`` on either side are split further, so a hot pivot is spread over many tasks.
+Bounds are exact. With a threshold they follow from it; without one a query looks into its own
+block first, and the k-th score there is the bound for the others. Where queries and items are the same
+rows, a pair of blocks is compared once for both directions. Cells that hold more rows than
+``cell_rows`` on either side are cut into slices, so a hot block is spread over many tasks.
 Of several items with the same vector only the first ``k`` by key can be among a top k.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass, field
+import logging
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from taskloom.operators import blocks as B
 from taskloom.session import cut_lineage
 
 CELL_ROWS = 2048
-MAX_WIDTHS = 16
-MAX_PIVOTS = 1024
-# up to this many pairs a plain grid of cells is cheaper than the passes that prune it
-GRID_PAIRS = 1_000_000_000
 SCORE_DIGITS = 12
-_SLACK = 1e-6
 _NO_LIMIT = -2.0
+log = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
@@ -60,32 +57,6 @@ class Between:
     item_value: str
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, rows: int, scale: bool = True) -> np.ndarray:
-    """Row vectors of an Arrow list column, by default of length 1; zero vectors stay zero."""
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    elements = flat.flatten()
-    if elements.null_count:
-        elements = pc.fill_null(elements, 0.0)
-    values = np.asarray(elements, dtype=np.float64)
-    if rows == 0:
-        return values.reshape(0, 0)
-    m = values.reshape(rows, -1)
-    return _unit_rows(m) if scale else m
-
-
-def _unit_rows(m: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(n == 0, 1.0, n)
-
-
-def _distances(column, rows: int, pivots: np.ndarray, metric: str) -> np.ndarray:
-    """Distance of each vector to each pivot: angle of the directions, or Euclidean."""
-    m = _matrix(column, rows, scale=metric == "angle")
-    if metric == "angle":
-        return np.arccos(np.clip(m @ pivots.T, -1.0, 1.0))
-    return _euclidean(m, pivots)
-
-
 def _euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     squared = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * (a @ b.T)
     return np.sqrt(np.maximum(squared, 0.0))
@@ -100,36 +71,43 @@ def _allowed(left: pa.Table, right: pa.Table, n_conditions: int) -> np.ndarray |
         return None
     mask = np.ones((left.num_rows, right.num_rows), dtype=bool)
     for c in range(n_conditions):
-        if pa.types.is_struct(left.schema.field(f"m{c}").type):
-            mask &= _inside(left.column(f"m{c}"), right.column(f"m{c}"))
-            continue
-        wanted = left.column(f"m{c}").to_pylist()
-        have = right.column(f"m{c}").combine_chunks()
-        rows_of: dict[tuple, list[int]] = {}
-        for i, w in enumerate(wanted):
-            if w:
-                rows_of.setdefault(tuple(sorted(set(w))), []).append(i)
-        for w, rows in rows_of.items():
-            mask[rows] &= _holds_any(have, list(w))
+        wanted, have = (t.column(f"m{c}").combine_chunks() for t in (left, right))
+        mask &= _inside(wanted, have) if pa.types.is_struct(wanted.type) else _listed(wanted, have)
     return mask
 
 
-def _holds_any(have: pa.Array, wanted: list[str]) -> np.ndarray:
-    """Which values, or lists of values, are or contain one of ``wanted``."""
-    values = pa.array(wanted, pa.string())
-    if not pa.types.is_list(have.type):
-        return pc.is_in(have.cast(pa.string()), value_set=values).to_numpy(zero_copy_only=False)
-    out = np.zeros(len(have), dtype=bool)
-    parents = pc.list_parent_indices(have).to_numpy(zero_copy_only=False)
-    out[parents[pc.is_in(have.flatten().cast(pa.string()), value_set=values).to_numpy(zero_copy_only=False)]] = True
-    return out
+def _elements(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(row, element) of the lists of an array, or of the values themselves."""
+    if pa.types.is_list(values.type):
+        return pc.list_parent_indices(values).to_numpy(zero_copy_only=False), values.flatten().cast(pa.string())
+    return np.arange(len(values)), values.cast(pa.string())
+
+
+def _listed(wanted: pa.Array, have: pa.Array) -> np.ndarray:
+    """Whether a list is empty or shares a value with an item, over the codes of the listed values."""
+    free = pc.fill_null(pc.equal(pc.list_value_length(wanted), 0), True).to_numpy(zero_copy_only=False)
+    (row, value), (item, own) = _elements(wanted), _elements(have)
+    known = pc.unique(value.drop_null())
+    codes = [pc.fill_null(pc.index_in(x, value_set=known), -1).to_numpy(zero_copy_only=False) for x in (value, own)]
+    # a null in a list matches nothing
+    mask = np.repeat(free[:, None], len(have), axis=1)
+    for start in range(0, len(known), 512):
+        sides = []
+        for rows, code, count in ((row, codes[0], len(wanted)), (item, codes[1], len(have))):
+            side = np.zeros((count, 512), dtype=np.float32)
+            here = (code >= start) & (code < start + 512)
+            side[rows[here], code[here] - start] = 1
+            sides.append(side)
+        mask |= sides[0] @ sides[1].T > 0
+    return mask
 
 
-def _inside(bounds: pa.ChunkedArray, values: pa.ChunkedArray) -> np.ndarray:
-    rows = bounds.to_pylist()
-    low = np.array([-np.inf if r["low"] is None else r["low"] for r in rows], dtype=np.float64)
-    high = np.array([np.inf if r["high"] is None else r["high"] for r in rows], dtype=np.float64)
-    v = np.array([np.nan if x is None else x for x in values.to_pylist()], dtype=np.float64)
+def _inside(bounds: pa.Array, values: pa.Array) -> np.ndarray:
+    def numbers(x: pa.Array, missing: float) -> np.ndarray:
+        return pc.fill_null(x, missing).to_numpy(zero_copy_only=False)
+
+    low, high = numbers(pc.struct_field(bounds, "low"), -np.inf), numbers(pc.struct_field(bounds, "high"), np.inf)
+    v = numbers(values, np.nan)
     inside = (v[None, :] >= low[:, None]) & (v[None, :] <= high[:, None])
     unbounded = np.isinf(low) & np.isinf(high)
     return inside | unbounded[:, None]
@@ -149,26 +127,55 @@ def _best(scores: np.ndarray, limit: float, k: int) -> tuple[np.ndarray, np.ndar
     return rows[within], cols[within]
 
 
-def _top_k_kernel(k: int, limit: float, n_conditions: int):
-    schema = pa.schema([("q", pa.string()), ("i", pa.string()), ("score", pa.float64())])
+def _width(t: pa.Table) -> int:
+    return pc.list_value_length(t.column("v").slice(0, 1))[0].as_py()
+
+
+def _cosines(left: pa.Table, right: pa.Table) -> np.ndarray:
+    """Scores of a cell, whose sides have one width each; those of different widths are 0."""
+    if _width(left) != _width(right):
+        return np.zeros((left.num_rows, right.num_rows))
+    a, b = (B.matrix(t.column("v"), t.num_rows) for t in (left, right))
+    return np.round(a @ b.T, SCORE_DIGITS)
+
+
+_HITS = pa.schema([("q", pa.string()), ("i", pa.string()), ("score", pa.float64())])
 
+
+def _hit_table(left: pa.Table, right: pa.Table, scores: np.ndarray, limit: float, k: int) -> pa.Table:
+    rows, cols = _best(scores, limit, k)
+    ids = [t.column("id").combine_chunks().take(pa.array(x)).cast(pa.string()) for t, x in ((left, rows), (right, cols))]
+    return pa.table([*ids, pa.array(scores[rows, cols])], schema=_HITS)
+
+
+def _top_k_kernel(k: int, limit: float, n_conditions: int):
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
-            return schema.empty_table()
+            return _HITS.empty_table()
         right = right.sort_by("id")
-        s = np.round(_matrix(left.column("v"), left.num_rows) @ _matrix(right.column("v"), right.num_rows).T, SCORE_DIGITS)
+        s = _cosines(left, right)
         mask = _allowed(left, right, n_conditions)
         if mask is not None:
             s[~mask] = -np.inf
-        rows, cols = _best(s, limit, k)
-        return pa.table(
-            [
-                left.column("id").combine_chunks().take(pa.array(rows)).cast(pa.string()),
-                right.column("id").combine_chunks().take(pa.array(cols)).cast(pa.string()),
-                pa.array(s[rows, cols]),
-            ],
-            schema=schema,
-        )
+        return _hit_table(left, right, s, limit, k)
+
+    return kernel
+
+
+def _self_kernel(k: int, limit: float):
+    """Both directions of a cell whose visitors and items are rows of one table. Only rows with
+    ``item`` may be found; visitors of their own block find, and are found on their own visit."""
+
+    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows == 0 or right.num_rows == 0:
+            return _HITS.empty_table()
+        left, right = left.sort_by("id"), right.sort_by("id")
+        s = _cosines(left, right)
+        flag = lambda t: t.column("item").to_numpy(zero_copy_only=False)
+        finds = np.where(flag(right)[None, :], s, -np.inf)
+        guest = left.column("home").to_numpy() != left.column("block").to_numpy()
+        found = np.where((flag(left) & guest)[:, None], s, -np.inf)
+        return pa.concat_tables([_hit_table(left, right, finds, limit, k), _hit_table(right, left, found.T, limit, k)])
 
     return kernel
 
@@ -179,9 +186,13 @@ def _component_kernel(eps: float, metric: str):
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return schema.empty_table()
-        scale = metric == "angle"
-        a, b = (_matrix(t.column("v"), t.num_rows, scale) for t in (left, right))
-        distance = 1.0 - a @ b.T if scale else _euclidean(a, b)
+        scale = metric == "cosine"
+        if _width(left) != _width(right) and not scale:
+            return schema.empty_table()
+        if scale:
+            distance = 1.0 - _cosines(left, right)
+        else:
+            distance = _euclidean(*(B.matrix(t.column("v"), t.num_rows, unit=False) for t in (left, right)))
         near = np.round(distance, SCORE_DIGITS) <= eps
         lid = np.array(left.column("id").to_pylist(), dtype=object)
         rid = np.array(right.column("id").to_pylist(), dtype=object)
@@ -214,89 +225,18 @@ def _component_kernel(eps: float, metric: str):
 # ------------------------------------------------------------------- routing
 
 
-@dataclass
-class _Pivots:
-    vectors: np.ndarray
-    radius: np.ndarray = field(default=None)
-    item_splits: np.ndarray = field(default=None)
-    query_splits: np.ndarray = field(default=None)
+def _slices(sizes: np.ndarray, cell_rows: int, block: str = "block"):
+    """Number of slices of each row's block, as a column; a block -1 is one slice."""
+    counts = [max(1, -(-int(n) // cell_rows)) for n in sizes]
+    if max(counts, default=1) == 1:
+        return F.lit(1)
+    return F.coalesce(F.get(F.array(*[F.lit(n) for n in counts]), F.col(block)), F.lit(1))
 
 
-def _choose_pivots(
-    items: DataFrame, n_items: int, n_queries: int, cell_rows: int, prune: bool | None, metric: str = "angle"
-) -> _Pivots | None:
-    """A bounded sample of item vectors, or None for a plain grid; any choice gives the same answer."""
-    if prune is False or (prune is None and n_items * n_queries <= GRID_PAIRS):
-        return None
-    wanted = min(MAX_PIVOTS, max(1, math.ceil(n_items / cell_rows)))
-    if wanted == 1:
-        return None
-    # by hash: there may be far fewer distinct vectors than items, and none may be missed
-    rows = items.select("v", F.xxhash64("id").alias("_h")).orderBy("_h").limit(wanted).collect()
-    if len(rows) < 2:
-        return None
-    m = np.array([r.v for r in rows], dtype=np.float64)
-    return _Pivots(_unit_rows(m) if metric == "angle" else m)
-
-
-def _home_cells(df: DataFrame, pivots: _Pivots, metric: str = "angle") -> DataFrame:
-    """Add the closest pivot (``cell``) and the angle to it (``angle``)."""
-    vectors = pivots.vectors
-    names = df.columns
-
-    def assign(batches):
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            a = _distances(b.column("v"), b.num_rows, vectors, metric)
-            home = a.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(n) for n in names]
-                + [pa.array(home.astype(np.int32)), pa.array(a[np.arange(len(home)), home])],
-                names=[*names, "cell", "angle"],
-            )
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(assign, f"{fields}, cell int, angle double")
-
-
-def _reachable_cells(df: DataFrame, pivots: _Pivots, metric: str = "angle") -> DataFrame:
-    """One row per (query, pivot whose ball may hold an item within the query's ``reach``)."""
-    vectors, radius = pivots.vectors, pivots.radius
-    names = [n for n in df.columns if n != "reach"]
-
-    def route(batches):
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            a = _distances(b.column("v"), b.num_rows, vectors, metric)
-            reach = np.asarray(b.column("reach"))
-            rows, cells = np.nonzero(a <= radius[None, :] + reach[:, None] + _SLACK)
-            for lo in range(0, len(rows), 8192):
-                part = pa.array(rows[lo : lo + 8192])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(n).take(part) for n in names] + [pa.array(cells[lo : lo + 8192].astype(np.int32))],
-                    names=[*names, "cell"],
-                )
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "reach")
-    return df.mapInArrow(route, f"{fields}, cell int")
-
-
-def _splits(counts: dict[int, int], n: int, cell_rows: int) -> np.ndarray:
-    return np.array([max(1, math.ceil(counts.get(c, 0) / cell_rows)) for c in range(n)], dtype=np.int64)
-
-
-def _lookup(values: np.ndarray):
-    """Constant array column indexed by ``cell`` (0-based)."""
-    return F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("cell") + 1)
-
-
-def _grid(df: DataFrame, own: np.ndarray, other: np.ndarray, own_name: str, other_name: str) -> DataFrame:
-    """Place each row in one slice of its own side and copy it to every slice of the other side."""
-    return df.withColumn(own_name, F.pmod(F.xxhash64("id"), _lookup(own)).cast("int")).withColumn(
-        other_name, F.explode(F.sequence(F.lit(0), (_lookup(other) - 1).cast("int")))
-    )
+def _in_slice(df: DataFrame, own, other, own_name: str, other_name: str) -> DataFrame:
+    """Each row in one slice of its own side, copied to every slice of the other side."""
+    df = df.withColumn(own_name, F.pmod(F.xxhash64("id"), own).cast("int"))
+    return df.withColumn(other_name, F.explode(F.sequence(F.lit(0), other - 1)))
 
 
 def _run_cells(left: DataFrame, right: DataFrame, keys: list[str], kernel, schema: str) -> DataFrame:
@@ -305,17 +245,25 @@ def _run_cells(left: DataFrame, right: DataFrame, keys: list[str], kernel, schem
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(kernel, schema)
 
 
-def _cells_join(left, right, pivots, kernel, schema):
-    left = _grid(left, pivots.query_splits, pivots.item_splits, "qs", "is")
-    right = _grid(right, pivots.item_splits, pivots.query_splits, "is", "qs")
-    return _run_cells(left, right, ["cell", "qs", "is"], kernel, schema)
-
-
-def _single_cell(n_queries: int, n_items: int, cell_rows: int) -> _Pivots:
-    p = _Pivots(None)
-    p.query_splits = np.array([max(1, math.ceil(n_queries / cell_rows))])
-    p.item_splits = np.array([max(1, math.ceil(n_items / cell_rows))])
-    return p
+def _cells(visitors: DataFrame, items: DataFrame, blocks: B.Blocks, cell_rows: int, kernel, schema: str) -> DataFrame:
+    """The kernel over each block and its visitors; the visitors of a cell have one width."""
+    if blocks.count == 1:
+        counts = np.array([visitors.count()])
+    else:
+        visitors = cut_lineage(visitors)  # counted, and read again by the cells
+        counts = np.zeros(blocks.count, dtype=np.int64)
+        for r in visitors.groupBy("block").agg(F.count("*").alias("n")).collect():
+            counts[r["block"]] = r["n"]
+    compared = int((counts * blocks.size).sum())
+    log.info("%d blocks, %d pairs of a visitor and an item", blocks.count, compared)
+    of_items, of_visitors = _slices(blocks.size, cell_rows), _slices(counts, cell_rows)
+    left = _in_slice(visitors.withColumn("w", F.size("v")), of_visitors, of_items, "qs", "is")
+    widths = sorted(blocks.frames)
+    right = _in_slice(items, of_items, of_visitors, "is", "qs")
+    if len(widths) > 1:  # visitors of other widths score 0, in cells of their own
+        right = right.join(left.select("block", "w").distinct(), "block")
+        return _run_cells(left, right, ["block", "w", "qs", "is"], kernel, schema)
+    return _run_cells(left, right, ["block", "qs", "is"], kernel, schema)
 
 
 def _prepare(df: DataFrame, id_col: str, vec_col: str, matches: list) -> DataFrame:
@@ -324,21 +272,15 @@ def _prepare(df: DataFrame, id_col: str, vec_col: str, matches: list) -> DataFra
     return df.select(*cols).where("id is not null and v is not null and size(v) > 0")
 
 
-def _one_width(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides with vectors of one width: those of different widths get places of their own
-    among zeros, so they are orthogonal and score 0."""
-    both = left.select(F.size("v").alias("n")).unionByName(right.select(F.size("v").alias("n")))
-    widths = sorted(r["n"] for r in both.distinct().limit(MAX_WIDTHS + 1).collect())
-    if len(widths) <= 1:
-        return left, right
-    if len(widths) > MAX_WIDTHS:
-        raise ValueError(f"vectors have more than {MAX_WIDTHS} different widths")
-    total, at, placed = sum(widths), 0, None
-    for n in widths:
-        own = F.concat(F.array_repeat(F.lit(0.0), at), F.col("v"), F.array_repeat(F.lit(0.0), total - at - n))
-        placed = F.when(F.size("v") == n, own) if placed is None else placed.when(F.size("v") == n, own)
-        at += n
-    return left.withColumn("v", placed), right.withColumn("v", placed)
+def _sizes(items: DataFrame) -> dict[int, int]:
+    """Number of items of each width."""
+    return {r["w"]: r["n"] for r in items.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).collect()}
+
+
+def _copy_number(extra: list[str]):
+    """Place of an item among those with the same vector, by id; vectors meet by 128 bits of hash."""
+    same = [F.xxhash64("v"), F.xxhash64(F.lit("v"), "v"), F.size("v")]
+    return F.row_number().over(Window.partitionBy(*same, *extra).orderBy("id"))
 
 
 def first_copies(items: DataFrame, k: int, extra: list[str] = ()) -> DataFrame:
@@ -347,8 +289,7 @@ def first_copies(items: DataFrame, k: int, extra: list[str] = ()) -> DataFrame:
     Later copies can never be in a top k with ties broken by id. The rank limit is also
     applied before the shuffle, so a hot vector sends at most ``k`` rows per input task.
     """
-    w = Window.partitionBy("v", *extra).orderBy("id")
-    return items.withColumn("_copy", F.row_number().over(w)).where(F.col("_copy") <= k).drop("_copy")
+    return items.withColumn("_copy", _copy_number(extra)).where(F.col("_copy") <= k).drop("_copy")
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -371,15 +312,13 @@ def top_k(
     match: list[Match | Between] | None = None,
     group: str | None = None,
     cell_rows: int = CELL_ROWS,
-    prune: bool | None = None,
 ) -> DataFrame:
     """Exact top ``k`` items per query by cosine similarity.
 
     Returns ``(query_id, item_id, score, rank)``; scores are rounded to 12 digits, ties
     go to the smaller item id. ``threshold`` keeps scores >= it (None keeps all).
     ``match`` restricts pairs by metadata, ``group`` to equal values of one column that
-    both tables have. ``prune`` forces or forbids routing by pivots; by default the number
-    of pairs decides.
+    both tables have. Vectors of different widths score 0.
     """
     match = match or []
     limit = _NO_LIMIT if threshold is None else float(threshold)
@@ -393,75 +332,83 @@ def top_k(
     i_extra += [group] if group else []
     left = _prepare(queries, query_id, query_vector, q_extra)
     right = _prepare(items, item_id, item_vector, i_extra)
-    left, right = _one_width(left, right)
-    right = first_copies(right, k, [f"m{i}" for i in range(len(i_extra))])
     kernel = _top_k_kernel(k, limit, len(match))
-    schema = "q string, i string, score double"
-
+    copies = [f"m{i}" for i in range(len(i_extra))]
     if group:
-        hits = _grouped_hits(left, right, f"m{len(match)}", kernel, schema, cell_rows)
+        hits = _grouped_hits(left, first_copies(right, k, copies), f"m{len(match)}", kernel, limit, cell_rows)
     else:
-        # sizes of the plain inputs: an upper bound is enough, and only the id column is read
-        n_queries, n_items = queries.select(query_id).count(), items.select(item_id).count()
-        pivots = _choose_pivots(right, n_items, n_queries, cell_rows, prune)
-        if pivots is None:
-            pivots = _single_cell(n_queries, n_items, cell_rows)
-            zero = F.lit(0).alias("cell")
-            hits = _cells_join(left.select("*", zero), right.select("*", zero), pivots, kernel, schema)
-        else:
-            hits = _pruned_hits(left, right, pivots, k, limit, kernel, schema, cell_rows)
+        hits = _hits(left, right, copies, k, limit, kernel, cell_rows)
     return _ranked(hits, k).select(
         F.col("q").alias(query_id), F.col("i").alias(item_id), "score", F.col("rank").cast("int").alias("rank")
     )
 
 
-def _measure_items(right: DataFrame, pivots: _Pivots, cell_rows: int, metric: str = "angle") -> DataFrame:
-    # read several times below, so write it once
-    homed = cut_lineage(_home_cells(right, pivots, metric))
-    n = len(pivots.vectors)
-    stats = homed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r")).collect()
-    pivots.radius = np.full(n, -np.inf)
-    for s in stats:
-        pivots.radius[s.cell] = s.r
-    pivots.item_splits = _splits({s.cell: s.n for s in stats}, n, cell_rows)
-    return homed.drop("angle")
-
-
-def _count_queries(routed: DataFrame, pivots: _Pivots, cell_rows: int) -> None:
-    stats = routed.groupBy("cell").agg(F.count("*").alias("n")).collect()
-    pivots.query_splits = _splits({s.cell: s.n for s in stats}, len(pivots.vectors), cell_rows)
-
+def self_top_k(
+    items: DataFrame, k: int, threshold: float, item_id: str = "key", vector: str = "embedding", cell_rows: int = CELL_ROWS
+) -> DataFrame:
+    """``top_k`` of the items among themselves, each one's own hit included: ``(query_key, item_id, score, rank)``.
 
-def _pruned_hits(left, right, pivots, k, limit, kernel, schema, cell_rows):
-    homed = _measure_items(right, pivots, cell_rows)
-    # first look only at the query's own cell: its k-th score bounds the search angle
-    own = _home_cells(left, pivots).drop("angle")
-    _count_queries(own, pivots, cell_rows)
-    near = _ranked(_cells_join(own, homed, pivots, kernel, schema), k)
-    bounds = near.groupBy("q").agg(
-        F.when(F.max("rank") >= k, F.min("score")).otherwise(F.lit(limit)).alias("near_bound")
-    )
-    bounded = (
-        left.join(bounds, left.id == bounds.q, "left")
-        .withColumn("bound", F.greatest(F.lit(-1.0), F.lit(limit), F.coalesce("near_bound", F.lit(limit))))
-        .withColumn("reach", F.acos(F.least(F.lit(1.0), "bound")))
-        .drop("q", "near_bound", "bound")
+    With a threshold the blocks that a row can reach are those that can reach it, so each pair of
+    blocks is compared once, for both directions.
+    """
+    rows = _prepare(items, item_id, vector, [])
+    blocks = B.fit(rows, sizes := _sizes(rows), cell_rows, "cosine")
+    if not sizes:
+        hits = rows.select(F.col("id").alias("q"), F.col("id").alias("i"), F.lit(0.0).alias("score"))
+    else:
+        rows = B.place(rows.withColumn("item", _copy_number([]) <= k), blocks)
+        rows = cut_lineage(rows) if blocks.count > 1 else rows
+        B.measure(rows, blocks, sizes)
+        if blocks.count == 1:
+            visitors = rows.withColumn("home", F.col("block"))
+        else:
+            visitors = B.route(rows.drop("block").withColumn("bound", F.lit(float(threshold))), blocks, "bound", "later")
+        hits = _cells(visitors, rows, blocks, cell_rows, _self_kernel(k, float(threshold)), "q string, i string, score double")
+    return _ranked(hits, k).select(
+        F.col("q").alias("query_key"), F.col("i").alias(item_id), "score", F.col("rank").cast("int").alias("rank")
     )
-    routed = _reachable_cells(bounded, pivots)
-    wide = _Pivots(pivots.vectors, pivots.radius, pivots.item_splits)
-    _count_queries(routed, wide, cell_rows)
-    return _cells_join(routed, homed, wide, kernel, schema)
 
 
-def _grouped_hits(left, right, group, kernel, schema, cell_rows):
-    """Search inside equal values of ``group``; large groups are split on both sides."""
-    size = lambda df, name: df.groupBy(group).agg(F.ceil(F.count("*") / cell_rows).cast("int").alias(name))
-    sizes = size(left, "n_q").join(size(right, "n_i"), group)
-    piece = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = left.join(sizes, group).withColumn("qs", piece("n_q")).withColumn("is", every("n_i"))
-    right = right.join(sizes, group).withColumn("is", piece("n_i")).withColumn("qs", every("n_q"))
-    return _run_cells(left, right, [group, "qs", "is"], kernel, schema)
+def _hits(left, right, copies, k, limit, kernel, cell_rows):
+    schema = "q string, i string, score double"
+    sizes = _sizes(right)  # before copies go: an upper bound is enough
+    if not sizes:
+        return left.limit(0).select(F.col("id").alias("q"), F.col("id").alias("i"), F.lit(0.0).alias("score"))
+    blocks = B.fit(right, sizes, cell_rows, "cosine")
+    items = B.place(first_copies(right, k, copies), blocks)
+    if blocks.count == 1:
+        B.measure(items, blocks, sizes)
+        return _cells(left.withColumn("block", F.lit(0)), items, blocks, cell_rows, kernel, schema)
+    items = cut_lineage(items)
+    B.measure(items, blocks, sizes)
+    if limit > _NO_LIMIT:
+        visitors = B.route(left.withColumn("bound", F.lit(limit)), blocks, "bound")
+        return _cells(visitors.drop("home"), items, blocks, cell_rows, kernel, schema)
+    # a first look at the query's own block: its k-th score is the bound for the others
+    own = B.place(left, blocks).where("block >= 0")
+    near = cut_lineage(_ranked(_cells(own, items, blocks, cell_rows, kernel, schema), k))
+    kth = near.groupBy("q").agg(F.when(F.max("rank") >= k, F.min("score")).alias("kth"))
+    bounded = left.join(kth, left.id == kth.q, "left").withColumn("bound", F.coalesce("kth", F.lit(limit))).drop("q", "kth")
+    visitors = B.route(bounded, blocks, "bound", "others").drop("home")
+    return near.drop("rank").unionByName(_cells(visitors, items, blocks, cell_rows, kernel, schema))
+
+
+def _grouped_hits(left, right, group, kernel, limit, cell_rows):
+    """Search inside equal values of ``group``; large groups are split on both sides, and by width."""
+
+    def sizes(df: DataFrame, width: str, slices: str) -> DataFrame:
+        return df.groupBy(group, F.size("v").alias(width)).agg(F.ceil(F.count("*") / cell_rows).cast("int").alias(slices))
+
+    both = sizes(left, "wq", "n_q").join(sizes(right, "wi", "n_i"), group)
+    if limit > 0:
+        both = both.where("wq = wi")
+
+    def dealt(df: DataFrame, width: str, own: str, other: str, own_name: str, other_name: str) -> DataFrame:
+        df = df.withColumn(width, F.size("v")).join(both, [group, width])
+        return _in_slice(df, F.col(own), F.col(other), own_name, other_name).drop("n_q", "n_i")
+
+    left, right = dealt(left, "wq", "n_q", "n_i", "qs", "is"), dealt(right, "wi", "n_i", "n_q", "is", "qs")
+    return _run_cells(left, right, [group, "wq", "wi", "qs", "is"], kernel, "q string, i string, score double")
 
 
 def linked_components(
@@ -471,26 +418,25 @@ def linked_components(
     item_vector: str = "v",
     metric: str = "cosine",
     cell_rows: int = CELL_ROWS,
-    prune: bool | None = None,
 ) -> DataFrame:
     """Edges ``(a, b)`` with the connectivity of all pairs at a distance <= ``eps``.
 
-    The distance is 1 - cosine or Euclidean. ``items`` must hold each vector once. At most
-    one edge per row and cell is emitted, however many pairs are close.
+    The distance is 1 - cosine or Euclidean; vectors of different widths have cosine 0 and no
+    Euclidean distance. ``items`` must hold each vector once. At most one edge per row and cell
+    is emitted, however many pairs are close, and each pair of blocks is compared once.
     """
-    space = {"cosine": "angle", "euclidean": "euclidean"}[metric]
     eps = round(float(eps), SCORE_DIGITS)
     rows = _prepare(items, item_id, item_vector, [])
-    n = rows.count()
-    kernel = _component_kernel(eps, space)
-    schema = "a string, b string"
-    pivots = _choose_pivots(rows, n, n, cell_rows, prune, space)
-    if pivots is None:
-        pivots = _single_cell(n, n, cell_rows)
-        one = rows.withColumn("cell", F.lit(0))
-        return _cells_join(one, one, pivots, kernel, schema).distinct()
-    homed = _measure_items(rows, pivots, cell_rows, space)
-    reach = math.acos(max(-1.0, min(1.0, 1.0 - eps))) if space == "angle" else eps
-    routed = _reachable_cells(rows.withColumn("reach", F.lit(reach)), pivots, space)
-    _count_queries(routed, pivots, cell_rows)
-    return _cells_join(routed, homed, pivots, kernel, schema).distinct()
+    sizes = _sizes(rows)
+    if not sizes:
+        return rows.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    blocks = B.fit(rows, sizes, cell_rows, metric)
+    placed = B.place(rows, blocks)
+    placed = cut_lineage(placed) if blocks.count > 1 else placed
+    B.measure(placed, blocks, sizes)
+    bound = 1.0 - eps if metric == "cosine" else eps
+    if blocks.count == 1:
+        visitors = placed
+    else:
+        visitors = B.route(placed.drop("block").withColumn("bound", F.lit(bound)), blocks, "bound", "later").drop("home")
+    return _cells(visitors, placed, blocks, cell_rows, _component_kernel(eps, metric), "a string, b string").distinct()

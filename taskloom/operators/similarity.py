@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from taskloom.functions import pairs as P
 from taskloom.functions import vector as V
-from taskloom.operators.neighbours import CELL_ROWS, top_k
+from taskloom.operators.neighbours import CELL_ROWS, self_top_k, top_k
 from taskloom.operators.ranks import kth_smallest
 from taskloom.session import cut_lineage
 
@@ -17,8 +17,11 @@ PAIR_COLUMNS = ["summary", "issue_type", "status", "epic_key", "created", "compo
 
 def _self_hits(items: DataFrame, k: int, threshold: float | None, cell_rows: int) -> DataFrame:
     """Per item its best ``k`` items (the item itself counts); without the self hits."""
-    queries = items.select(F.col("key").alias("query_key"), "embedding")
-    hits = top_k(queries, items, k, threshold, query_id="query_key", cell_rows=cell_rows)
+    if threshold is None:
+        queries = items.select(F.col("key").alias("query_key"), "embedding")
+        hits = top_k(queries, items, k, None, query_id="query_key", cell_rows=cell_rows)
+    else:
+        hits = self_top_k(items, k, threshold, cell_rows=cell_rows)
     return hits.where(F.col("query_key") != F.col("key"))
 
 

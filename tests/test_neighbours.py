@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from taskloom.operators import clusters as C
 from taskloom.operators import similarity as S
-from taskloom.operators.neighbours import Between, Match, linked_components, top_k
+from taskloom.operators import blocks
+from taskloom.operators.neighbours import Between, Match, linked_components, self_top_k, top_k
 from taskloom.operators.ranks import kth_smallest, percentile_linear, with_position, with_total_before
 
 RNG = np.random.default_rng(11)
@@ -49,19 +50,81 @@ def _got(df):
     return {(r.query_id, r.key, r["rank"]) for r in df.collect()}
 
 
-@pytest.mark.parametrize("k,threshold,cell,prune", [(5, 0.7, 2048, None), (4, None, 16, True), (20, 0.5, 20, True), (3, 0.9, 25, False)])
-def test_top_k_equals_brute_force(spark, k, threshold, cell, prune):
+@pytest.mark.parametrize("k,threshold,cell", [(5, 0.7, 2048), (4, None, 16), (20, 0.5, 20), (3, 0.9, 5), (6, -0.5, 12)])
+def test_top_k_equals_brute_force(spark, k, threshold, cell):
     v = _vectors(90, copies=30)
     t = _table(spark, v)
-    got = top_k(t.withColumnRenamed("key", "query_id"), t, k, threshold, cell_rows=cell, prune=prune)
+    got = top_k(t.withColumnRenamed("key", "query_id"), t, k, threshold, cell_rows=cell)
     assert _got(got) == _brute(_cosines(v, v), k, threshold)
 
 
+@pytest.mark.parametrize("k,threshold,cell", [(5, 0.7, 2048), (3, 0.6, 8), (4, -0.2, 10)])
+def test_self_top_k_equals_brute_force(spark, k, threshold, cell):
+    """Pairs of blocks are compared once and counted in both directions, copies of a vector included."""
+    v = _vectors(90, copies=30)
+    got = self_top_k(_table(spark, v), k, threshold, cell_rows=cell).withColumnRenamed("query_key", "query_id")
+    assert _got(got) == _brute(_cosines(v, v), k, threshold)
+
+
+@pytest.mark.parametrize("threshold", [None, 0.6, -0.1])
+def test_many_widths(spark, threshold):
+    """Vectors of forty widths, which score 0 with each other; one width is several blocks."""
+    rng = np.random.default_rng(2)
+    rows = [list(rng.normal(size=40) * (np.arange(40) <= i % 40)) [: i % 40 + 1] for i in range(80)]
+    rows += [list(rng.normal(size=6) + 3) for _ in range(60)]
+    wide = [(f"K{i:04d}", [float(x) for x in r]) for i, r in enumerate(rows)]
+    t = spark.createDataFrame(wide, "key string, embedding array<double>")
+    s = np.zeros((len(rows),) * 2)
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows):
+            if len(a) == len(b):
+                s[i, j] = round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 12)
+    got = top_k(t.withColumnRenamed("key", "query_id"), t, 5, threshold, cell_rows=20)
+    assert _got(got) == _brute(s, 5, threshold)
+    tagged = t.withColumn("tag", F.lit("x"))
+    got = top_k(tagged.withColumnRenamed("key", "query_id"), tagged, 5, threshold, group="tag", cell_rows=50)
+    assert _got(got) == _brute(s, 5, threshold)
+
+
+def test_bounds_rule_out_most_blocks(spark, caplog):
+    """At 0.7 a self-search of 4,000 vectors in clusters compares well under half of the pairs."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 48))
+    v = centres[rng.integers(0, 40, 4000)] + 0.35 * rng.normal(size=(4000, 48))
+    with caplog.at_level("INFO", logger="taskloom.operators.neighbours"):
+        hits = self_top_k(_table(spark, v), 5, 0.7, cell_rows=128).count()
+    words = caplog.records[-1].getMessage().split()
+    share = int(words[2]) / 4000**2
+    print(f"{words[0]} blocks, {share:.3f} of the pairs compared")
+    assert hits == 20_000 and int(words[0]) == 125 and share < 0.2
+
+
+def test_no_bound_is_too_small():
+    """Against every vector: what a block holds is never better than its bound, in either metric."""
+    v = _vectors(400, d=12)
+    for metric in ("cosine", "euclidean"):
+        m = blocks.unit_rows(v) if metric == "cosine" else v
+        frame = blocks._frame(m[::4], 12, 0, 16)
+        at = frame.coordinates(m)
+        home = frame.home(at)
+        model = blocks.Blocks(metric, {12: frame})
+        model.size = np.bincount(home, minlength=16)
+        away = model.from_centres(frame, at)[np.arange(400), home]
+        model.radius = np.array([away[home == b].max(initial=0) for b in range(16)])
+        model.low = np.array([at[home == b].min(axis=0) if (home == b).any() else at[0] for b in range(16)])
+        model.high = np.array([at[home == b].max(axis=0) if (home == b).any() else at[0] for b in range(16)])
+        score = m @ m.T if metric == "cosine" else np.linalg.norm(m[:, None] - m[None], axis=2)
+        for bound in (0.2, 0.7, 0.95):
+            can = model.reachable(at, 12, np.full(400, bound))
+            near = score >= bound if metric == "cosine" else score <= bound
+            assert can[np.arange(400)[:, None], home[None, :]][near].all()
+
+
 def test_filters_apply_before_the_cut(spark):
     v = _vectors(60)
     t = _table(spark, v, extra=lambda i: "ab"[i % 2])
     q = t.select(F.col("key").alias("query_id"), "embedding", F.when(F.substring("key", 5, 1) != "0", F.array("tag")).alias("wanted"))
-    got = top_k(q, t, 4, None, match=[Match("wanted", "tag")], cell_rows=16, prune=True)
+    got = top_k(q, t, 4, None, match=[Match("wanted", "tag")], cell_rows=16)
     assert _got(got) == _brute(_cosines(v, v), 4, None, lambda i, j: i % 10 == 0 or i % 2 == j % 2)
 
 
@@ -102,8 +165,8 @@ def _components(near):
     return root
 
 
-@pytest.mark.parametrize("metric,eps,cell,prune", [("cosine", 0.05, 2048, None), ("cosine", 0.08, 9, True), ("euclidean", 0.6, 9, True), ("cosine", 0.0, 9, None)])
-def test_density_clusters_equal_brute_force(spark, metric, eps, cell, prune, monkeypatch):
+@pytest.mark.parametrize("metric,eps,cell", [("cosine", 0.05, 2048), ("cosine", 0.08, 9), ("euclidean", 0.6, 9), ("cosine", 0.0, 9)])
+def test_density_clusters_equal_brute_force(spark, metric, eps, cell):
     v = _vectors(45, copies=10)
     if metric == "cosine":
         d = np.round(1 - _cosines(v, v), 12)
@@ -117,8 +180,6 @@ def test_density_clusters_equal_brute_force(spark, metric, eps, cell, prune, mon
     size = {r: root.count(r) for r in root}
     order = sorted(r for r in size if size[r] > 1)
     want = {(f"K{i:04d}", order.index(r)) for i, r in enumerate(root) if size[r] > 1}
-    real = linked_components
-    monkeypatch.setattr(C, "linked_components", lambda *a, **k: real(*a, **{**k, "prune": prune}))
     got = C.density_clusters(_table(spark, v), eps, metric, cell_rows=cell)
     assert {(r.key, r.cluster_id) for r in got.collect()} == want
 
