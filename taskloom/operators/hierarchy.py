@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +14,14 @@ ROLES = {"story": ["story", "user story"], "task": ["task", "improvement"], "sub
 MAX_SHOWN_CHILDREN = 50
 
 
+def _links(items: DataFrame) -> DataFrame:
+    up = F.explode(F.array_distinct(F.array("parent_key", "epic_key"))).alias("parent")
+    return items.select(up, F.col("key").alias("child")).where("parent is not null and parent <> ''")
+
+
 def child_edges(items: DataFrame) -> DataFrame:
     """Direct children by parent or epic link: distinct ``(parent, child)``."""
-    by_parent = items.select(F.col("parent_key").alias("parent"), F.col("key").alias("child"))
-    by_epic = items.select(F.col("epic_key").alias("parent"), F.col("key").alias("child"))
-    return by_parent.unionByName(by_epic).where("parent is not null and parent <> ''").distinct()
+    return _links(items).distinct()
 
 
 def active_epics(items: DataFrame, project: str | None = None) -> DataFrame:
@@ -51,48 +52,84 @@ def ordered_children(items: DataFrame, epics: DataFrame) -> DataFrame:
     return epic_children(items, epics).orderBy("epic", "created", "key")
 
 
+def _least(links: DataFrame, inside: list[str]) -> DataFrame:
+    return links.groupBy(*inside, "key", "up").agg(F.min("steps").alias("steps"), F.first("open").alias("open"))
+
+
+def _joined(lower: DataFrame, upper: DataFrame, inside: list[str]) -> DataFrame:
+    """Ways over two links; whether they are open is the upper link's matter."""
+    above = upper.select(*inside, F.col("key").alias("up"), F.col("up").alias("top"), F.col("steps").alias("more"), F.col("open").alias("on"))
+    ways = lower.join(above, [*inside, "up"])
+    return ways.select(*inside, "key", F.col("top").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), F.col("on").alias("open"))
+
+
+def _climbed(links: DataFrame, inside: list[str]) -> DataFrame:
+    """All ways up to a closed link by pointer doubling, with their least steps.
+
+    ``links (key, up, steps, open)`` has a row for each key and place above it, apart for each value of the
+    columns ``inside``; rows may come twice. A round replaces open links by the links of their upper end, so their length doubles,
+    and what cannot end is left out; a way longer than there are keys runs in a circle, so the
+    rounds are logarithmic in any case.
+    """
+    current, size, reach = links, None, 1
+    while not current.where("open").isEmpty():
+        size = size or current.select("key").distinct().count()
+        if reach > size:
+            break
+        done = current.where("not open")
+        current = cut_lineage(_least(done.unionByName(_joined(current.where("open"), current, inside)), inside))
+        reach *= 2
+    # without a round the links are those given
+    return current.where("not open") if reach > 1 else cut_lineage(_least(current.where("not open"), inside))
+
+
+def _closed(links: DataFrame) -> DataFrame:
+    """Least steps between all pairs that ways over the links connect, each round twice as long."""
+    current, before = cut_lineage(_least(links, [])), None
+    while True:
+        state = tuple(current.agg(F.count("*"), F.sum("steps")).first())
+        if state == before or not state[0]:
+            return current
+        before = state
+        ways = current.unionByName(_joined(current, current, [])).where("key <> up")
+        current = cut_lineage(_least(ways, []))
+
+
 def descendants(items: DataFrame, roots: DataFrame) -> DataFrame:
     """All items below each root: ``(root, key, level)``, each once at its first level.
 
-    Level by level join of the frontier with the child edges; pairs seen before are left
-    out, so cycles end. Every level is written to the shared checkpoint folder.
+    Every key climbs to the first roots above it by pointer doubling, roots climb among themselves,
+    and both are joined; so the rounds grow with the logarithm of the depth. Circles end. Every round
+    is written to the shared checkpoint folder.
     """
-    edges = cut_lineage(child_edges(items))
-    frontier = cut_lineage(roots.select(F.col("key").alias("root"), "key").distinct())
-    seen, found = frontier, None
-    for level in count(1):
-        step = (
-            frontier.join(edges, frontier.key == edges.parent)
-            .select("root", F.col("child").alias("key"))
-            .distinct()
-            .join(seen, ["root", "key"], "left_anti")
-        )
-        frontier = cut_lineage(step)
-        if frontier.isEmpty():
-            break
-        rows = frontier.withColumn("level", F.lit(level))
-        found = rows if found is None else found.unionByName(rows)
-        seen = seen.unionByName(frontier)
-    return found if found is not None else frontier.withColumn("level", F.lit(0))
+    named = roots.select(F.col("key").alias("up"), F.lit(False).alias("open")).distinct()
+    edges = _links(items).select(F.col("child").alias("key"), F.col("parent").alias("up"), F.lit(1).alias("steps"))
+    links = edges.join(named, "up", "left").withColumn("open", F.col("open").isNull())
+    first = _climbed(links, []).where("key <> up")
+    between = _closed(first.join(named.select(F.col("up").alias("key")), "key", "left_semi"))
+    found = first
+    if not between.isEmpty():
+        found = cut_lineage(_least(first.unionByName(_joined(first, between, [])).where("key <> up"), []))
+    return found.select(F.col("up").alias("root"), "key", F.col("steps").alias("level"))
 
 
 def depth(tree: DataFrame, items: DataFrame) -> DataFrame:
     """Depth of each root's tree along ``parent_key``: ``(root, hierarchy_depth)``.
 
-    Items whose parent is not in the tree have depth 1, others one more than their parent.
+    Items whose parent is not in the tree have depth 1, others one more than their parent; those in a
+    circle have none. Found by pointer doubling inside each tree.
     """
-    rows = cut_lineage(tree.join(items.select("key", "parent_key"), "key").select("root", "key", "parent_key"))
-    placed = rows.select("root", F.col("key").alias("parent_key"))
-    current = cut_lineage(rows.join(placed, ["root", "parent_key"], "left_anti").select("root", "key"))
-    level, out = 1, current.select("root").distinct().withColumn("d", F.lit(1))
-    while True:
-        parents = current.select("root", F.col("key").alias("parent_key"))
-        current = cut_lineage(rows.join(parents, ["root", "parent_key"]).select("root", "key"))
-        if current.isEmpty():
-            break
-        level += 1
-        out = out.unionByName(current.select("root").distinct().withColumn("d", F.lit(level)))
-    return out.groupBy("root").agg(F.max("d").alias("hierarchy_depth"))
+    return _depth(tree.join(items.select("key", F.col("parent_key").alias("up")), "key").select("root", "key", "up"))
+
+
+def _depth(rows: DataFrame) -> DataFrame:
+    """Depth of each root's tree from its members and their parents, ``(root, key, up)``."""
+    below = rows.where("up is not null and up <> ''")
+    members = rows.select("root", F.col("key").alias("up"), F.lit(True).alias("open"))
+    open_ = F.coalesce("open", F.lit(False)).alias("open")
+    linked = below.join(members, ["root", "up"], "left").select("root", "key", "up", F.lit(1).alias("steps"), open_)
+    top = rows.where("up is null or up = ''").select("root", "key", "up", F.lit(1).alias("steps"), F.lit(False).alias("open"))
+    return _climbed(cut_lineage(linked.unionByName(top)), ["root"]).groupBy("root").agg(F.max("steps").alias("hierarchy_depth"))
 
 
 def is_done(status="status"):
@@ -112,23 +149,28 @@ def completion(tree: DataFrame, items: DataFrame, roots: DataFrame) -> DataFrame
 
 def epic_tree(items: DataFrame, roots: DataFrame) -> DataFrame:
     """One row per root: direct children, all descendants, total with the root, depth, completion."""
-    tree = descendants(items, roots)
-    counts = tree.groupBy("root").agg(
-        F.count_if(F.col("level") == 1).alias("direct_children"), F.count("*").alias("all_descendants")
+    slim = cut_lineage(items.select("key", "parent_key", "epic_key", is_done().alias("done")))
+    state = slim.select("key", F.col("parent_key").alias("up"), "done")
+    rows = cut_lineage(descendants(slim, roots).join(state, "key").select("root", "key", "up", "level", "done"))
+    counts = rows.groupBy("root").agg(
+        F.count_if(F.col("level") == 1).alias("direct_children"),
+        F.count("*").alias("all_descendants"),
+        F.count_if("done").alias("finished"),
     )
-    done = completion(tree, items, roots)
-    deep = depth(tree, items)
-    zero = lambda c, v=0: F.coalesce(c, F.lit(v)).alias(c)
+    own = roots.select(F.col("key").alias("root")).distinct().join(state.select(F.col("key").alias("root"), "done"), "root")
+    zero = lambda c, v=0: F.coalesce(c, F.lit(v))
+    finished = zero("finished") + F.col("done").cast("int")
+    total = zero("all_descendants") + 1
     return (
-        done.join(counts, "root", "left")
-        .join(deep, "root", "left")
+        own.join(counts, "root", "left")
+        .join(_depth(rows.select("root", "key", "up")), "root", "left")
         .select(
             "root",
-            zero("direct_children"),
-            zero("all_descendants"),
-            (F.coalesce("all_descendants", F.lit(0)) + 1).alias("total_items"),
-            zero("hierarchy_depth", 1),
-            "completion_percentage",
+            zero("direct_children").alias("direct_children"),
+            zero("all_descendants").alias("all_descendants"),
+            total.alias("total_items"),
+            zero("hierarchy_depth", 1).alias("hierarchy_depth"),
+            (100.0 * finished / total).alias("completion_percentage"),
         )
     )
 

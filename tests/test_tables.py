@@ -1,5 +1,6 @@
 """Tables, state, upserts, hierarchy and the fetch job."""
 
+import random
 import json
 
 import pytest
@@ -169,3 +170,57 @@ def test_fetch_job_full_then_incremental(spark, items, tmp_path):
     assert (p.project_key, p.items_count, str(p.last_sync)) == ("PROJ", 6, "2024-02-03 00:00:00")
     third = ingest.sync_feed(spark, later, root, "PROJ", "2024-02-04 00:00:00", scorer=scorer).first()
     assert third.processed_items == 0 and third.skipped_items == 4
+
+
+def _tree_brute(rows, roots):
+    """(root, key) -> level by breadth first search, and the depth of each root's tree."""
+    below = {}
+    for key, parent, epic in rows:
+        for up in {parent, epic} - {None, ""}:
+            below.setdefault(up, set()).add(key)
+    levels, depths = {}, {}
+    for root in roots:
+        seen, frontier, level = {root}, {root}, 0
+        while frontier:
+            level += 1
+            frontier = {c for k in frontier for c in below.get(k, ())} - seen
+            seen |= frontier
+            levels |= {(root, k): level for k in frontier}
+        inside = seen - {root}
+        known, parent_of = {}, {k: p for k, p, _ in rows}
+        for _ in range(len(rows) + 1):
+            for k in inside:
+                if parent_of[k] not in inside:
+                    known[k] = 1
+                elif parent_of[k] in known:
+                    known[k] = known[parent_of[k]] + 1
+        if known:
+            depths[root] = max(known.values())
+    return levels, depths
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_trees_equal_breadth_first_search(spark, seed):
+    """Forests with nested roots, double links, circles and links to unknown keys."""
+    rng = random.Random(seed)
+    keys = [f"k{i}" for i in range(60)]
+    some = lambda i: rng.choice([None, "", "gone", keys[rng.randrange(60)], *[keys[rng.randrange(max(1, i))] for _ in range(4)]])
+    rows = [(k, some(i), some(i) if rng.random() < 0.3 else None) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "key string, parent_key string, epic_key string")
+    roots = rng.sample(keys, 12)
+    tree = H.descendants(df, df.where(F.col("key").isin(roots)))
+    levels, depths = _tree_brute(rows, roots)
+    got = {(r.root, r.key): r.level for r in tree.collect()}
+    assert got == levels and tree.count() == len(levels)
+    assert {r.root: r.hierarchy_depth for r in H.depth(tree, df).collect()} == depths
+
+
+def test_deep_chains_take_logarithmic_rounds(spark, monkeypatch):
+    """A chain of 300 and a circle of 50 take a dozen rounds, not hundreds."""
+    rounds, real = [], H.cut_lineage
+    monkeypatch.setattr(H, "cut_lineage", lambda df: rounds.append(1) or real(df))
+    rows = [("k0", None, None)] + [(f"k{i}", f"k{i - 1}", None) for i in range(1, 300)] + [(f"c{i}", f"c{(i + 1) % 50}", None) for i in range(50)]
+    df = spark.createDataFrame(rows, "key string, parent_key string, epic_key string")
+    tree = H.descendants(df, df.where("key = 'k0'"))
+    assert tree.count() == 299 and len(rounds) <= 12
+    assert H.depth(tree, df).first().hierarchy_depth == 299 and len(rounds) <= 24
