@@ -177,7 +177,7 @@ def batch_prompts(spark, sf):
 
 def _responses(spark, sf):
     """Model responses derived from the documents: every fifth one is malformed prose."""
-    d = table(spark, sf, "documents").select("doc_id", "n_chars", F.substring_index("text", "\n", 1).alias("first"))
+    d = table(spark, sf, "documents").select("doc_id", "n_chars", "text")
     score = lambda k: F.when(F.col("doc_id") % 7 != k, ((F.col("doc_id") + k) % 5 + 1).cast("double"))
     body = F.to_json(
         F.struct(
@@ -186,13 +186,13 @@ def _responses(spark, sf):
             score(2).alias("actionability_score"),
             score(3).alias("testability_score"),
             F.when(F.col("doc_id") % 4 == 0, 4.5).alias("overall_score"),
-            F.when(F.col("doc_id") % 3 == 0, F.array("first")).alias("improvement_suggestions"),
+            F.when(F.col("doc_id") % 3 == 0, F.array("text")).alias("improvement_suggestions"),
             F.when(F.col("doc_id") % 6 == 0, "High").alias("risk_level"),
             F.when(F.col("doc_id") % 2 == 0, F.col("n_chars") > 1000).alias("should_split"),
             F.when(F.col("doc_id") % 2 == 0, 0.75).alias("complexity_score"),
             F.when(
                 F.col("doc_id") % 8 == 0,
-                F.array(F.struct(F.col("first").alias("title")), F.struct(F.lit("rest").alias("title"))),
+                F.array(F.struct(F.col("text").alias("title")), F.struct(F.lit("rest").alias("title"))),
             ).alias("suggested_splits"),
             F.when(F.col("doc_id") % 2 == 0, "pivot").alias("change_type"),
             F.when(F.col("doc_id") % 3 == 0, "theme A").alias("theme"),
@@ -200,7 +200,7 @@ def _responses(spark, sf):
         )
     )
     prose = F.concat(
-        F.when(F.col("doc_id") % 10 == 0, "I recommend a split, high risk: ").otherwise("This is LOW RISK "), "first"
+        F.when(F.col("doc_id") % 10 == 0, "I recommend a split, high risk: ").otherwise("This is LOW RISK "), "text"
     )
     return d.select(
         F.concat(F.lit("DOC-"), F.col("doc_id").cast("string")).alias("key"),
@@ -252,10 +252,10 @@ def parse_batch(spark, sf):
 
 def json_in_prose(spark, sf):
     """A JSON object per document, some wrapped in prose, some cut, some missing."""
-    d = table(spark, sf, "documents").select("doc_id", "n_chars", F.substring_index("text", "\n", 1).alias("first"))
+    d = table(spark, sf, "documents").select("doc_id", "n_chars", "text")
     body = F.format_string('{"id": %d, "size": {"chars": %d}}', "doc_id", "n_chars")
     c = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Sure:\n"), body, F.lit("\nThanks"))).otherwise(body)
-    c = F.when(F.col("doc_id") % 7 == 0, F.substring(c, 1, 12)).when(F.col("doc_id") % 11 == 0, F.col("first")).otherwise(c)
+    c = F.when(F.col("doc_id") % 7 == 0, F.substring(c, 1, 12)).when(F.col("doc_id") % 11 == 0, F.col("text")).otherwise(c)
     x = d.select("doc_id", prompts.extract_json(c).alias("x"))
     return x.select("doc_id", "x.json", "x.raw_response", "x.confidence", "x.reasoning")
 
@@ -314,13 +314,12 @@ def template_fallback(spark, sf):
 
 
 def template_checks(spark, sf):
-    """Templates made of each document's first two lines."""
+    """Templates made of each document's text, some without a placeholder or a body."""
     d = table(spark, sf, "documents")
-    lines = F.split("text", "\n")
     t = d.select(
         "doc_id",
-        F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("{x} "), lines[0])).otherwise(lines[0]).alias("title_template"),
-        F.when(F.col("doc_id") % 11 == 0, "").otherwise(lines[0]).alias("description_template"),
+        F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("{x} "), "text")).otherwise(F.col("text")).alias("title_template"),
+        F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.col("text")).alias("description_template"),
         F.array_repeat(F.lit("f"), (F.col("doc_id") % 4).cast("int")).alias("required_fields"),
         (F.col("doc_id") % 10 / 10.0).alias("confidence_score"),
     )
@@ -564,8 +563,8 @@ QUALITY = f"""quality AS (
     {", ".join(f"CASE WHEN doc_id % 5 = 0 THEN 3.0 ELSE {s} END AS {n}"
                for s, n in zip(_S, ["clarity_score", "completeness_score", "actionability_score", "testability_score"]))},
     CASE WHEN doc_id % 5 = 0 THEN 3.0 WHEN doc_id % 4 = 0 THEN 4.5 ELSE ({" + ".join(_S)}) / 4 END AS overall,
-    CASE WHEN doc_id % 5 = 0 THEN 'Review and clarify requirements' WHEN doc_id % 3 = 0 THEN summary ELSE '' END AS sugg,
-    CASE WHEN doc_id % 10 = 0 THEN (CASE WHEN contains(lower(summary), 'low risk') THEN 'Low' ELSE 'High' END)
+    CASE WHEN doc_id % 5 = 0 THEN 'Review and clarify requirements' WHEN doc_id % 3 = 0 THEN description ELSE '' END AS sugg,
+    CASE WHEN doc_id % 10 = 0 THEN (CASE WHEN contains(lower(description), 'low risk') THEN 'Low' ELSE 'High' END)
          WHEN doc_id % 5 = 0 THEN 'Low' WHEN doc_id % 6 = 0 THEN 'High' ELSE 'Medium' END AS risk_level
   FROM docs)"""
 ROLLUP = """SELECT count(*) AS processed, count(*) FILTER (NOT bad) AS successful, count(*) FILTER (bad) AS failed,
@@ -683,12 +682,12 @@ ORACLES = {
           bad AS used_fallback, round(cost, 6) AS cost FROM quality""",
     "P28_parse_split": f"""WITH {DOCS} SELECT key,
           CASE WHEN doc_id % 10 = 0 THEN TRUE
-            WHEN doc_id % 5 = 0 THEN contains(lower(summary), 'split') AND contains(lower(summary), 'recommend')
+            WHEN doc_id % 5 = 0 THEN contains(lower(description), 'split') AND contains(lower(description), 'recommend')
             WHEN doc_id % 2 = 0 THEN n_chars > 1000 ELSE FALSE END AS should_split,
           CASE WHEN doc_id % 5 <> 0 AND doc_id % 2 = 0 THEN 0.75::DOUBLE ELSE 0.5 END AS complexity_score,
           CASE WHEN doc_id % 5 = 0 THEN 'Unable to parse detailed analysis' ELSE 'No reasoning provided' END AS reasoning,
           CASE WHEN doc_id % 5 <> 0 AND doc_id % 8 = 0 THEN 2 ELSE 0 END AS n_splits,
-          CASE WHEN doc_id % 5 <> 0 AND doc_id % 8 = 0 THEN summary || '; rest' ELSE '' END AS titles FROM docs""",
+          CASE WHEN doc_id % 5 <> 0 AND doc_id % 8 = 0 THEN description || '; rest' ELSE '' END AS titles FROM docs""",
     "P29_parse_batch_quality": f"""WITH {DOCS} SELECT doc_id // 5 AS batch_id, key,
           CASE WHEN (doc_id // 5) % 3 = 0 THEN 3.0 ELSE (doc_id % 5 + 1)::DOUBLE END AS clarity_score,
           3.0::DOUBLE AS overall_score,
@@ -696,9 +695,9 @@ ORACLES = {
           'Medium' AS risk_level FROM docs""",
     "P30_extract_json": f"""WITH {DOCS}, b AS (SELECT *, '{{"id": ' || doc_id || ', "size": {{"chars": ' || n_chars || '}}}}'
           AS body FROM docs),
-        w AS (SELECT doc_id, summary, CASE WHEN doc_id % 3 = 0 THEN 'Sure:' || chr(10) || body || chr(10) || 'Thanks'
+        w AS (SELECT doc_id, description, CASE WHEN doc_id % 3 = 0 THEN 'Sure:' || chr(10) || body || chr(10) || 'Thanks'
           ELSE body END AS c FROM b),
-        c AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN left(c, 12) WHEN doc_id % 11 = 0 THEN summary ELSE c END AS c
+        c AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN left(c, 12) WHEN doc_id % 11 = 0 THEN description ELSE c END AS c
           FROM w),
         e AS (SELECT *, regexp_extract(c, '(?s)\\{{.*\\}}') AS j FROM c)
         SELECT doc_id, CASE WHEN j <> '' THEN j END AS json, CASE WHEN j = '' THEN c END AS raw_response,
@@ -740,8 +739,8 @@ ORACLES = {
           md5(CASE issue_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in templates.DESCRIPTION_TEMPLATES.items())} END) AS body_md5,
           0.5::DOUBLE AS confidence_score FROM docs GROUP BY 1 HAVING count(*) >= 3""",
     "P33_template_checks": f"""WITH {DOCS}, t AS (SELECT doc_id,
-          CASE WHEN doc_id % 3 <> 0 THEN '{{x}} ' || summary ELSE summary END AS title,
-          CASE WHEN doc_id % 11 = 0 THEN '' ELSE summary END AS body FROM docs)
+          CASE WHEN doc_id % 3 <> 0 THEN '{{x}} ' || description ELSE description END AS title,
+          CASE WHEN doc_id % 11 = 0 THEN '' ELSE description END AS body FROM docs)
         SELECT doc_id, contains(title, '{{') AND body <> '' AS is_valid,
           concat_ws('; ', CASE WHEN NOT contains(title, '{{') THEN 'Title template missing placeholders' END,
             CASE WHEN body = '' THEN 'Description template is empty' END) AS issues,

@@ -9,7 +9,7 @@ from taskloom.functions import vector as V
 from taskloom.functions.pairs import cases
 from taskloom.operators.labels import contains_pairs
 from taskloom.operators.neighbours import CELL_ROWS, top_k
-from taskloom.operators.ranks import with_totals
+from taskloom.operators.ranks import with_max_before, with_totals
 
 # Search limits, pass marks, weights.
 SEARCH_THRESHOLD = 0.3
@@ -142,12 +142,13 @@ def metrics_report(metrics: DataFrame) -> DataFrame:
 def regression(reports: DataFrame) -> DataFrame:
     """Each report against the best F1 of strictly earlier ones; ``reports`` has ``(ts, f1)``.
 
-    A report history is one row per quality run.
+    A report history is one row per quality run; its prefix maximum is found range by range.
     """
-    w = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
     change = F.col("f1") - F.col("baseline_f1")
+    timed = reports.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
     return (
-        reports.withColumn("baseline_f1", F.max("f1").over(w))
+        with_max_before(timed, "_at", "f1", "baseline_f1")
+        .drop("_at")
         .withColumn("change", F.coalesce(change, F.lit(0.0)))
         .withColumn("has_regression", F.coalesce(change < REGRESSION_DROP, F.lit(False)))
     )
@@ -317,7 +318,7 @@ def refresh_expected(queries: DataFrame, items: DataFrame, limit: int = 5) -> Da
     wanted = queries.select("query_id", F.explode(F.slice(words, 1, 3)).alias("needle")).distinct()
     needles = wanted.select(F.col("needle").alias("needle_id"), "needle").distinct()
     text = F.lower(F.concat_ws(" ", "summary", F.coalesce("description", F.lit(""))))
-    found = contains_pairs(items.select(F.col("key").alias("text_id"), text.alias("text")), needles, gram=4)
+    found = contains_pairs(items.select(F.col("key").alias("text_id"), text.alias("text")), needles)
     pairs = (
         wanted.join(found.withColumnRenamed("needle_id", "needle"), "needle")
         .select("query_id", F.col("text_id").alias("key"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,85 +29,60 @@ def top_labels(items: DataFrame, k: int = 5) -> DataFrame:
     return label_usage(items).orderBy(F.desc("n"), "label").limit(k)
 
 
-def _grams(text, n: int):
-    """Distinct substrings of ``n`` characters."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
+#: Characters of the needles that one automaton holds, about 50 bytes each.
+BLOCK_CHARS = 2_000_000
 
 
-def _meet(texts: DataFrame, needles: DataFrame, text_pieces, needle_pieces) -> DataFrame:
-    """Candidates ``(needle_id, text_id)`` that share the needle's rarest piece."""
-    pieces = needles.select("needle_id", F.explode(needle_pieces).alias("piece"))
-    # only pieces that some needle holds can meet; written once, so the texts are read once
-    held = cut_lineage(
-        texts.select("text_id", F.explode(text_pieces).alias("piece")).join(
-            pieces.select("piece").distinct(), "piece", "left_semi"
-        )
-    )
-    frequency = held.groupBy("piece").agg(F.count("*").alias("f"))
-    rarest = (
-        pieces.join(frequency, "piece", "left")
-        .groupBy("needle_id")
-        .agg(F.min_by("piece", F.struct(F.coalesce("f", F.lit(0)), "piece")).alias("piece"))
-    )
-    return rarest.join(held, "piece").select("needle_id", "text_id")
+def contains_pairs(texts: DataFrame, needles: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``(needle_id, text_id)`` where the needle is a substring of the text, each pair once.
 
-
-def contains_pairs(texts: DataFrame, needles: DataFrame, gram: int = 3) -> DataFrame:
-    """``(needle_id, text_id)`` where the needle is a substring of the text.
-
-    ``texts`` has ``(text_id, text)``, ``needles`` ``(needle_id, needle)``. A needle is
-    looked up by its rarest piece, an equi-join followed by a check: a needle of three or
-    more words by an inner word, which must be a whole word of the text too; a single word
-    in the vocabulary of the texts, since it lies inside one of their words; other needles
-    in the texts themselves. The last two use pieces of ``gram`` characters, or the needle
-    when it is shorter. Empty needles match nothing.
+    ``texts`` has ``(text_id, text)``, ``needles`` ``(needle_id, needle)``. The needles go to the tasks in blocks
+    of about ``block_chars`` characters; a task makes one automaton of a block and finds all its needles in
+    one walk over each text, so only matches are written, however common a needle's parts
+    are. Each block is a scan of the texts. Empty and null needles match nothing, nor do null texts.
     """
-    words = lambda c: F.split(c, r"\s+")
-    text = F.col("text")
-    kind = F.when(F.length("needle") < gram, "tiny").otherwise("exact")
-    sized = needles.where(F.length("needle") > 0).withColumn("_w", words(F.col("needle")))
-    sized = cut_lineage(
-        sized.withColumn("_n", F.least(F.lit(3), F.size("_w"))).withColumn("_kind", F.when(F.col("_n") < 3, kind))
-    )
-    # at most five kinds; the texts are searched only for the kinds there are
-    kinds = {(r["_n"], r["_kind"]) for r in sized.select("_n", "_kind").distinct().collect()}
-    found = []
-    if (3, None) in kinds:
-        inner = F.array_distinct(F.slice(F.col("_w"), 2, F.size("_w") - 2))
-        found.append(_meet(texts, sized.where("_n = 3"), F.array_distinct(words(text)), inner).distinct())
-    pair = {k for n, k in kinds if n == 2}
-    found += [c.distinct() for c in _by_grams(texts, sized.where("_n = 2"), pair, gram)]
-    parts = [_verified(c, texts, sized) for c in found]
-    single = {k for n, k in kinds if n == 1}
-    if single:
-        used = texts.select("text_id", F.explode(F.array_distinct(words(text))).alias("word"))
-        vocabulary = cut_lineage(used.select(F.col("word").alias("text_id"), F.col("word").alias("text")).distinct())
-        for c in _by_grams(vocabulary, sized.where("_n = 1"), single, gram):
-            in_word = _verified(c.distinct(), vocabulary, sized).withColumnRenamed("text_id", "word")
-            parts.append(in_word.join(used, "word").select("needle_id", "text_id").distinct())
-    if not parts:
-        types = [(c, d.schema[c].dataType) for c, d in (("needle_id", needles), ("text_id", texts))]
-        return needles.sparkSession.createDataFrame([], T.StructType([T.StructField(c, t) for c, t in types]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _by_grams(texts: DataFrame, needles: DataFrame, kinds: set[str], gram: int) -> list[DataFrame]:
-    text, needle = F.col("text"), F.col("needle")
-    out = []
-    if "exact" in kinds:
-        out.append(_meet(texts, needles.where("_kind = 'exact'"), _grams(text, gram), _grams(needle, gram)))
-    if "tiny" in kinds:
-        smaller = F.array_distinct(F.flatten(F.array(*[_grams(text, n) for n in range(1, gram)])))
-        out.append(_meet(texts, needles.where("_kind = 'tiny'"), smaller, F.array("needle")))
-    return out
-
-
-def _verified(candidates: DataFrame, texts: DataFrame, needles: DataFrame) -> DataFrame:
-    both = candidates.join(needles.select("needle_id", "needle"), "needle_id").join(texts, "text_id")
-    return both.where(F.contains("text", F.col("needle"))).select("needle_id", "text_id")
+    sized = needles.where(F.length("needle") > 0).select("needle_id", "needle")
+    chars = sized.agg(F.sum(F.length("needle").cast("long"))).first()[0] or 0
+    types = [(c, d.schema[c].dataType) for c, d in (("needle_id", needles), ("text_id", texts))]
+    schema = T.StructType([T.StructField(c, t) for c, t in types])
+    blocks = -(-chars // block_chars)
+    rows, found = texts.where(F.col("text").isNotNull()).select("text_id", "text"), None
+    for k in range(blocks):
+        block = sized.where(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == k).toArrow()
+        part = _found_in(rows, block, schema)
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else needles.sparkSession.createDataFrame([], schema)
+
+
+def _found_in(texts: DataFrame, block: pa.Table, schema: T.StructType) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(block)
+    kind = block.schema.field("needle_id").type
+
+    def run(batches):
+        import ahocorasick
+
+        ids = shared.value.column("needle_id").combine_chunks()
+        rows_of: dict[str, list[int]] = {}
+        for i, needle in enumerate(shared.value.column("needle").to_pylist()):
+            rows_of.setdefault(needle, []).append(i)
+        automaton = ahocorasick.Automaton()
+        for needle, rows in rows_of.items():
+            automaton.add_word(needle, tuple(rows))
+        if rows_of:
+            automaton.make_automaton()
+        for batch in batches:
+            needle_rows, text_rows = [], []
+            for k, text in enumerate(batch.column(1)):
+                if not rows_of:
+                    break
+                hits = {rows for _, rows in automaton.iter(text.as_py())}
+                for rows in hits:
+                    needle_rows += rows
+                    text_rows += [k] * len(rows)
+            columns = [ids.take(pa.array(needle_rows, pa.int64())).cast(kind), batch.column(0).take(pa.array(text_rows, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["needle_id", "text_id"])
+
+    return texts.mapInArrow(run, schema).distinct()
 
 
 def similar_labels(items: DataFrame, counts: DataFrame | None = None) -> DataFrame:

@@ -52,6 +52,20 @@ def with_total_before(df: DataFrame, order: list, value: str, name: str = "spent
     )
 
 
+def with_max_before(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """The largest ``value`` of all rows with a smaller ``order``, a long column; null for the first ones.
+
+    Equal orders share a range, and of each range only its maximum is passed on to the next.
+    """
+    ranged = _in_ranges(df, [F.col(order)])
+    tops = ranged.groupBy("_range").agg(F.max(value).alias("_top"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tops.select("_range", F.max("_top").over(before).alias("_before"))
+    w = Window.partitionBy("_range").orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+    inside = ranged.withColumn("_in", F.max(value).over(w)).join(offsets, "_range")
+    return inside.withColumn(name, F.greatest("_in", "_before")).drop("_range", "_in", "_before")
+
+
 def kth_smallest(df: DataFrame, group: list[str], value: str, rank, width: float = 1e-4) -> DataFrame:
     """Per group the value at a 1-based ascending rank; ``rank`` maps the group size to it.
 

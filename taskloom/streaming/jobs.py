@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from taskloom import schema
 from taskloom.operators import cost, sync
@@ -15,7 +18,7 @@ def stream_ingest(changes: DataFrame, root: str, checkpoint: str, now: str | Non
     """Change feed of work items into the item and tracking tables below ``root``.
 
     Each micro-batch keeps the newest row per key, drops rows older than or equal in
-    content to what is tracked, and upserts the rest. There is no watermark, so nothing is
+    content to what is tracked, and upserts the rest into the buckets of their keys. There is no watermark, so nothing is
     dropped for being late; a replayed batch finds equal hashes and changes nothing.
     """
     items_path, tracked_path = f"{root}/items", f"{root}/tracked"
@@ -34,10 +37,10 @@ def stream_ingest(changes: DataFrame, root: str, checkpoint: str, now: str | Non
         try:
             if changed.isEmpty():
                 return
-            old = store.load_table(spark, items_path, batch.schema)
-            store.save_table(sync.upsert(old, changed.drop("content_hash")), items_path)
+            store.change_table(changed.drop("content_hash"), items_path, "key", sync.upsert, batch.schema)
             stamp = now or str(spark.sql("select current_timestamp()").first()[0])
-            store.save_state(sync.track(tracked, changed, stamp), tracked_path)
+            merge = lambda old, new: sync.upsert(old, new, "key", "last_processed")
+            store.change_table(sync.tracking_rows(changed, stamp), tracked_path, "key", merge, schema.TRACKED)
         finally:
             changed.unpersist()
 
@@ -79,62 +82,79 @@ def stream_bursts(log: DataFrame, gap: str = "5 seconds", delay: str = "1 minute
     )
 
 
-def stream_alerts(
-    log: DataFrame,
-    root: str,
-    checkpoint: str,
-    daily: float = cost.DAILY_BUDGET,
-    monthly: float = cost.MONTHLY_BUDGET,
-    **trigger,
-) -> StreamingQuery:
-    """Budget alerts, each threshold once per day or month, appended to a table below ``root``.
+def _spent(log: DataFrame, daily: float, monthly: float) -> DataFrame:
+    """Each call once for its day and once for its month, with the budget and the end of the period."""
+
+    def period(kind: str, fmt: str, unit: str, budget: float):
+        return F.struct(
+            F.lit(kind).alias("type"),
+            F.date_format("ts", fmt).alias("period"),
+            F.lit(float(budget)).alias("budget"),
+            F.unix_millis(F.date_trunc(unit, "ts") + F.expr(f"INTERVAL 1 {unit}")).alias("until"),
+        )
+
+    both = F.array(period("daily_budget", "yyyy-MM-dd", "DAY", daily), period("monthly_budget", "yyyy-MM", "MONTH", monthly))
+    return log.select(F.explode(both).alias("p"), "ts", "cost").select("p.*", "ts", F.coalesce("cost", F.lit(0.0)).alias("cost"))
+
 
-    The state is the cost per day, kept apart for the current batch, and the alerts already
-    sent. Both tables name their batch, so a replayed batch replaces its own rows.
+class BudgetAlerts(StatefulProcessor):
+    """The cost of a period so far and how many of its thresholds are announced.
+
+    A timer at the end of the period drops both once the watermark is past it; rows that come
+    later are behind the watermark and are not seen.
     """
-    totals_path, alerts_path = f"{root}/daily_totals", f"{root}/alerts"
-    alert_schema = "type string, period string, threshold double, usage double, severity string, epoch bigint"
-    totals_schema = "day date, cost double, epoch bigint"
 
-    def load(spark, path, ddl, epoch):
-        empty = spark.createDataFrame([], ddl)
-        rows = store.load_table(spark, path, empty.schema)
-        return rows.where(F.col("epoch") != epoch)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.spent = handle.getValueState("spent", "cost double, announced int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = self.spent.exists()
+        total, announced = self.spent.get() if known else (0.0, 0)
+        budget = until = None
+        for part in rows:
+            total += float(part["cost"].sum())
+            budget, until = float(part["budget"].iloc[0]), int(part["until"].iloc[0])
+        if not known:
+            self.handle.registerTimer(until)
+        usage = total / budget
+        reached = [t for t in cost.ALERT_THRESHOLDS if usage >= t]
+        self.spent.update((total, len(reached)))
+        fresh = reached[announced:]
+        if fresh:
+            kind, period = key
+            yield pd.DataFrame({"type": kind, "period": period, "threshold": fresh, "usage": usage})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.spent.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def alerts(log: DataFrame, daily: float = cost.DAILY_BUDGET, monthly: float = cost.MONTHLY_BUDGET, delay: str = "1 day") -> DataFrame:
+    """Budget alerts, each threshold once per day or month, as an append-mode stream.
+
+    ``log`` has ``ts`` and ``cost``. The state is one row per open period, kept by Spark with the stream's
+    checkpoint, so a replayed batch starts from the state before it. ``usage`` is the share
+    of the budget when the threshold was passed. Needs the RocksDB state store (``keyed_state``).
+    """
+    spent = _spent(log.withWatermark("ts", delay), daily, monthly)
+    found = spent.groupBy("type", "period").transformWithStateInPandas(
+        BudgetAlerts(), "type string, period string, threshold double, usage double", "Append", "EventTime"
+    )
+    return found.withColumn("severity", cost.alert_severity("threshold"))
 
-    def apply(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        mine = batch.groupBy(F.to_date("ts").alias("day")).agg(F.sum("cost").alias("cost"))
-        # only the current batch can be replayed, so all earlier ones merge into one row per day
-        before = (
-            load(spark, totals_path, totals_schema, epoch)
-            .groupBy("day")
-            .agg(F.sum("cost").alias("cost"))
-            .withColumn("epoch", F.lit(epoch - 1).cast("bigint"))
-        )
-        store.save_table(before.unionByName(mine.withColumn("epoch", F.lit(epoch).cast("bigint"))), totals_path)
-        # the totals read back are those of this batch's snapshot
-        totals = load(spark, totals_path, totals_schema, -9)
-        by = lambda fmt: F.date_format("day", fmt)
-        spent = (
-            totals.groupBy(F.lit("daily_budget").alias("type"), by("yyyy-MM-dd").alias("period"))
-            .agg((F.sum("cost") / F.lit(daily)).alias("usage"))
-            .unionByName(
-                totals.groupBy(F.lit("monthly_budget").alias("type"), by("yyyy-MM").alias("period")).agg(
-                    (F.sum("cost") / F.lit(monthly)).alias("usage")
-                )
-            )
-        )
-        reached = spent.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in cost.ALERT_THRESHOLDS]))).where(
-            "usage >= threshold"
-        )
-        sent = load(spark, alerts_path, alert_schema, epoch)
-        fresh = cost.new_alerts(reached, sent).withColumn("severity", cost.alert_severity("threshold"))
-        rows = fresh.withColumn("epoch", F.lit(epoch).cast("bigint")).select(sent.columns)
-        store.save_table(sent.unionByName(rows), alerts_path)
 
-    return (
-        log.writeStream.foreachBatch(apply)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"processingTime": "1 minute"}))
-        .start()
+def keyed_state(spark: SparkSession) -> None:
+    """Use the state store that keyed state needs."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     )
+
+
+def append_to(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Append the finished rows of a stream to a Parquet table; each batch is committed once."""
+    writer = stream.writeStream.outputMode("append").format("parquet").option("path", path)
+    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 minute"})).start()

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +157,13 @@ def test_answer_boosts_summary_and_text(spark):
     assert got.formatted_context.startswith("Query: what is urgent and blocked?\nIntent: search\n\n## Relevant Items:\n\n### K2 - Bug\n**Status: Blocked | Priority: High**\nshort")
     assert got.token_count == len(got.formatted_context) // 4
     assert search.answer(free, chunks, items, threshold=0.99999999).first().results_count == 1
+
+
+def test_regression_is_against_strictly_earlier_reports(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(t), float(f)) for t, f in zip(rng.integers(0, 150, 400), rng.random(400))]
+    reports = spark.createDataFrame(rows, "day int, f1 double").withColumn("ts", F.timestamp_seconds(F.col("day") * 86400))
+    for r in E.regression(reports).collect():
+        before = [f for t, f in rows if t < r.day]
+        assert r.baseline_f1 == (max(before) if before else None)
+        assert r.change == pytest.approx(r.f1 - max(before) if before else 0.0)

@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from taskloom import schema
+from taskloom.operators import sync
 from taskloom.sources import store
 from taskloom.streaming import jobs
 
@@ -30,21 +31,45 @@ def test_ingest_ignores_old_and_repeated_rows(spark, tmp_path):
     assert store.load_state(spark, f"{root}/tracked", schema.TRACKED).count() == 3
 
 
-def test_alerts_are_sent_once(spark, tmp_path):
-    log, root = str(tmp_path / "log"), str(tmp_path / "store")
+def _alerts(spark, tmp_path):
+    """A function that appends calls (day, cost) and returns the daily alerts so far, and the last run."""
+    log, out = str(tmp_path / "log"), str(tmp_path / "alerts")
     kind = "ts timestamp, cost double"
+    jobs.keyed_state(spark)
 
-    def push(*costs):
-        rows = [(dt.datetime(2024, 1, 5, 10 + i), c) for i, c in enumerate(costs)]
-        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(log)
-        stream = spark.readStream.schema(spark.createDataFrame([], kind).schema).parquet(log)
-        jobs.stream_alerts(stream, root, str(tmp_path / "cp"), 10.0, 1000.0, availableNow=True).awaitTermination()
-        rows = store.load_table(spark, f"{root}/alerts").where("type = 'daily_budget'").collect()
-        return sorted(r.threshold for r in rows)
+    def push(*calls):
+        if calls:
+            rows = [(dt.datetime(2024, 1, day, 10, i), c) for i, (day, c) in enumerate(calls)]
+            spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(log)
+        stream = jobs.alerts(spark.readStream.schema(spark.createDataFrame([], kind).schema).parquet(log), 10.0, 1000.0)
+        run = jobs.append_to(stream, out, str(tmp_path / "cp"), availableNow=True)
+        run.awaitTermination()
+        rows = spark.read.schema(stream.schema).parquet(out).where("type = 'daily_budget'").collect()
+        return sorted((int(r.period[-2:]), r.threshold, round(r.usage, 6), r.severity) for r in rows), run
 
-    assert push(6.0) == [0.5]
-    assert push(0.5) == [0.5]
-    assert push(2.0, 2.0) == [0.5, 0.75, 0.9, 1.0]
+    return push
+
+
+def test_alerts_are_sent_once(spark, tmp_path):
+    push = _alerts(spark, tmp_path)
+    first = [(5, 0.5, 0.6, "low")]
+    assert push((5, 6.0))[0] == first
+    assert push((5, 0.5))[0] == first
+    # a run without new calls, as after a restart, announces nothing again
+    assert push()[0] == first
+    rest = [(5, t, 1.05, s) for t, s in ((0.75, "medium"), (0.9, "high"), (1.0, "critical"))]
+    assert push((5, 2.0), (5, 2.0))[0] == first + rest
+
+
+def test_alert_state_ends_with_the_period(spark, tmp_path):
+    """Once the watermark is past a day its state goes, and its late calls are not counted."""
+    push = _alerts(spark, tmp_path)
+    push((2, 4.0), (3, 4.0))
+    found, run = push((9, 6.0))
+    assert found == [(9, 0.5, 0.6, "low")]
+    # two days are over; the ninth and the month are open
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress][-1] <= 4
+    assert push((2, 9.0))[0] == found
 
 
 def test_windows_drop_rows_behind_the_watermark(spark, tmp_path):
@@ -76,32 +101,43 @@ def test_session_gap_is_inclusive(spark, tmp_path):
     assert jobs.stream_rolling(df.withColumn("cost", F.lit(7.0))).where("mean_daily_cost = 3.0").count() == 7
 
 
-def test_replayed_batch_counts_once(spark, tmp_path):
-    """The same epoch applied twice leaves one total and no second alert."""
-    captured = {}
-
-    class Writer:
-        def foreachBatch(self, fn):
-            captured["apply"] = fn
-            return self
-
-        def option(self, *a):
-            return self
-
-        def trigger(self, **k):
-            return self
-
-        def start(self):
-            return None
-
-    class Stream:
-        writeStream = Writer()
+def test_state_falls_behind_the_watermark(spark, tmp_path):
+    """Windows are appended once when they close, and their state is dropped."""
+    log = str(tmp_path / "log")
+    kind = "service string, ts timestamp, cost double"
 
-    root = str(tmp_path / "store")
-    jobs.stream_alerts(Stream(), root, "unused", 10.0, 1000.0)
-    batch = lambda c: spark.createDataFrame([(dt.datetime(2024, 1, 5), c)], "ts timestamp, cost double")
-    for epoch, c in ((0, 3.0), (1, 3.0), (1, 3.0), (2, 1.0), (2, 1.0)):
-        captured["apply"](batch(c), epoch)
-    assert store.load_table(spark, f"{root}/daily_totals").groupBy().sum("cost").first()[0] == 7.0
-    alerts = store.load_table(spark, f"{root}/alerts").where("type = 'daily_budget'").collect()
-    assert [r.threshold for r in alerts] == [0.5]
+    def push(days):
+        rows = [("s", dt.datetime(2024, 1, d), 1.0) for d in days]
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(log)
+        stream = jobs.stream_cost(spark.readStream.schema(spark.createDataFrame([], kind).schema).parquet(log))
+        run = jobs.append_to(stream, str(tmp_path / "out"), str(tmp_path / "cp"), availableNow=True)
+        run.awaitTermination()
+        return run.recentProgress[-1]["stateOperators"][0]["numRowsTotal"]
+
+    assert push(range(1, 11)) <= 2 and push(range(11, 29)) <= 2
+    got = [r.day.day for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == list(range(1, 27))
+
+
+def test_changes_rewrite_their_buckets_only(spark, tmp_path):
+    """A small second batch leaves the files of all other buckets as they are."""
+    path = str(tmp_path / "table")
+    rows = [_item(f"k{i}", "one", 1) for i in range(200)]
+    items = spark.createDataFrame(rows, ITEM)
+
+    def files():
+        return {str(f): f.stat().st_mtime_ns for f in (tmp_path / "table").rglob("*.parquet")}
+
+    store.change_table(items, path, "key", sync.upsert, buckets=16)
+    before = files()
+    store.change_table(spark.createDataFrame([_item("k7", "two", 2), _item("new", "x", 2)], ITEM), path, "key", sync.upsert, buckets=16)
+    after = files()
+    folder = lambda f: f.split(store.BUCKET + "=")[1].split("/")[0]
+    changed = {folder(f) for f in before if f not in after}
+    want = {str(r[0]) for r in spark.createDataFrame([("k7",), ("new",)], "key string").select(store.bucket_of("key", 16)).collect()}
+    assert changed == want and {folder(f) for f in before} | want == {folder(f) for f in after}
+    assert all(after[f] == t for f, t in before.items() if folder(f) not in want)
+    got = {r.key: r.summary for r in store.load_table(spark, path).collect()}
+    assert len(got) == 201 and got["k7"] == "two" and got["k8"] == "one"
+    store.change_table(items.limit(0), path, "key", sync.upsert, buckets=16)
+    assert files() == after

@@ -40,13 +40,30 @@ def test_tables_are_replaced_while_read(spark, items, tmp_path):
     store.save_table(sync.delete_keys(store.load_table(spark, path), items.where("key = 'PROJ-1'")), path)
     assert store.load_table(spark, path).count() == 7
     assert store.table_stats(store.load_table(spark, path)).first().points_count == 7
-    # a snapshot that was not finished is ignored
-    (tmp_path / "t" / "snapshot-000009").mkdir()
-    assert store.load_table(spark, path).count() == 7
     with pytest.raises(FileNotFoundError):
         store.load_table(spark, str(tmp_path / "none"))
 
 
+def test_state_report_has_the_bytes_of_its_files(spark, items, tmp_path):
+    path = str(tmp_path / "tracked")
+    rows = sync.tracking_rows(items.withColumn("status", F.lit("Open")), NOW)
+    merge = lambda old, new: sync.upsert(old, new, "key", "last_processed")
+    store.change_table(rows, path, "key", merge, schema.TRACKED)
+    r = ingest.state_report(spark, path).first()
+    files = list((tmp_path / "tracked").rglob("*.parquet"))
+    assert len(files) > 1 and r.bytes == sum(f.stat().st_size for f in files)
+    assert (r.tracked_items, r.projects_tracked) == (8, 2)
+
+
+def test_cost_log_reads_the_wanted_days(spark, tmp_path):
+    path = str(tmp_path / "log")
+    log = spark.range(10).select(F.expr("timestamp'2024-01-01 12:00:00' + make_interval(0, 0, 0, cast(id as int))").alias("ts"), F.lit(1.0).alias("cost"))
+    store.append_cost(log, path)
+    days = store.read_cost_log(spark, path, "2024-01-03", "2024-01-05")
+    assert days.count() == 3 and len(days.inputFiles()) == 10
+    assert "PartitionFilters: [isnotnull(day" in days._jdf.queryExecution().toString()
+
+
 def test_scan_reads_only_what_it_needs(spark, items, tmp_path):
     path = str(tmp_path / "t")
     store.save_table(items, path)
