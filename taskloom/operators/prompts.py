@@ -19,6 +19,10 @@ from taskloom.operators.ranks import with_position
 NO_DESCRIPTION = "No description provided"
 
 
+#: Answers ``(content, cost)`` to a list of prompts.
+PromptScorer = Callable[[list[str]], list[tuple[str, float]]]
+
+
 def _described(c: str = "description") -> Column:
     return F.when(F.length(c) > 0, F.col(c)).otherwise(NO_DESCRIPTION)
 
@@ -185,9 +189,21 @@ def batch_prompts(items: DataFrame, size: int = 5) -> DataFrame:
     )
 
 
-def score_prompts(
-    prompts: DataFrame, scorer: Callable[[list[str]], list[tuple[str, float]]], key: str = "key", batch: int = 32
-) -> DataFrame:
+def retrying(scorer: PromptScorer, tries: int = 3) -> PromptScorer:
+    """A scorer that is asked again when it fails, and at last answers null at no cost."""
+
+    def run(texts: list[str]) -> list[tuple[str | None, float]]:
+        for _ in range(tries):
+            try:
+                return scorer(texts)
+            except Exception:  # noqa: BLE001 - any failure of a model call
+                continue
+        return [(None, 0.0)] * len(texts)
+
+    return run
+
+
+def score_prompts(prompts: DataFrame, scorer: PromptScorer, key: str = "key", batch: int = 32) -> DataFrame:
     """Run ``scorer`` over groups of ``batch`` prompts inside Arrow tasks: ``(key, content, cost)``."""
     key_type = prompts.schema[key].dataType.simpleString()
 
@@ -197,7 +213,7 @@ def score_prompts(
                 part = b.slice(lo, batch)
                 answers = scorer(part.column("prompt").to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(key), pa.array([a[0] for a in answers]), pa.array([float(a[1]) for a in answers])],
+                    [part.column(key), pa.array([a[0] for a in answers], pa.string()), pa.array([float(a[1]) for a in answers])],
                     names=[key, "content", "cost"],
                 )
 
