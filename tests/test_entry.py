@@ -68,9 +68,10 @@ def test_library_keeps_to_its_rules():
             if f.endswith(".py"):
                 code = open(os.path.join(folder, f)).read()
                 assert "crossJoin(" not in code and "localCheckpoint(" not in code, f
-                # models of a bounded size are broadcast in the optional package
+                # models of a bounded size are broadcast in the optional package, one row in ranks.py
+                # and blocks of needles, cut at a number of characters, in labels.py
                 if re.search(r"\bbroadcast\(", code) and os.path.basename(folder) != "llm":
-                    assert f == "ranks.py", f
+                    assert f in ("ranks.py", "labels.py"), f
 
 
 def test_plans_cut_ranks_before_the_shuffle(spark):
