@@ -141,3 +141,15 @@ def test_changes_rewrite_their_buckets_only(spark, tmp_path):
     assert len(got) == 201 and got["k7"] == "two" and got["k8"] == "one"
     store.change_table(items.limit(0), path, "key", sync.upsert, buckets=16)
     assert files() == after
+
+
+def test_a_new_table_is_written_once_and_rows_move_once_by_bucket(spark, tmp_path, monkeypatch):
+    """No copy aside while there are no old rows; an upsert of bucketed rows has one shuffle."""
+    monkeypatch.setattr(store, "cut_lineage", None)
+    monkeypatch.setattr(store, "stored", None, raising=False)
+    items = spark.createDataFrame([_item(f"k{i % 9}", f"text {i}", 1) for i in range(20)], ITEM)
+    store.change_table(items, str(tmp_path / "t"), "key", sync.upsert, buckets=4)
+    assert store.load_table(spark, str(tmp_path / "t")).count() == 9
+    both = items.withColumn(store.BUCKET, store.bucket_of("key", 4))
+    plan = sync.upsert(both, both)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
