@@ -28,8 +28,14 @@ MOVES = 4
 #: Blocks of a model at most; fuller blocks are dealt out in slices.
 MODEL_BLOCKS = 4096
 _SLACK = 1e-6
-#: Vectors that a routing task copies at once.
-_COPIED_BYTES = 1 << 25
+#: Products of vectors and centres that a task holds at once.
+_PRODUCTS = 1 << 20
+
+
+def parts(rows: int, centres: int) -> list[slice]:
+    """Slices of ``rows`` whose products with all centres stay small."""
+    step = max(16, _PRODUCTS // max(centres, 1))
+    return [slice(k, k + step) for k in range(0, rows, step)]
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, rows: int, unit: bool = True) -> np.ndarray:
@@ -78,7 +84,7 @@ class Frame:
 
 def _closest(at: np.ndarray, centres: np.ndarray) -> np.ndarray:
     half = (centres * centres).sum(axis=1) / 2
-    return np.concatenate([(at[k : k + 4096] @ centres.T - half).argmax(axis=1) for k in range(0, len(at), 4096)] or [np.zeros(0, int)])
+    return np.concatenate([(at[p] @ centres.T - half).argmax(axis=1) for p in parts(len(at), len(centres))] or [np.zeros(0, int)])
 
 
 def _frame(sample: np.ndarray, width: int, first: int, wanted: int) -> Frame:
@@ -162,6 +168,30 @@ class Blocks:
         can[:, own] = least <= bound[:, None] + _SLACK
         return can & (self.size > 0)
 
+    def width_of(self, block: int) -> int:
+        return next(w for w, f in self.frames.items() if f.first <= block < f.first + f.blocks)
+
+    def holds(self, at: np.ndarray, width: int, bound: np.ndarray, block: int) -> np.ndarray:
+        """``reachable`` for one block."""
+        frame = self.frames.get(width)
+        if frame is None or not frame.first <= block < frame.first + frame.blocks:
+            return bound <= _SLACK if self.metric == "cosine" else np.zeros(len(at), dtype=bool)
+        own = block - frame.first
+        one = Frame(width, 0, frame.axes, frame.centres[own : own + 1])
+        alone = Blocks(self.metric, {width: one}, *(x[block : block + 1] for x in (self.low, self.high, self.radius, self.size)))
+        return alone.reachable(at, width, bound)[:, 0]
+
+
+def may_visit(home: np.ndarray, block, which: str) -> np.ndarray:
+    """Which blocks rows of a home block visit at all: ``all``, their ``own``, all ``others``, or ``once`` their own
+    and of two blocks one the other, which is enough where rows and items are the same."""
+    if which == "own":
+        return home == block
+    if which == "others":
+        return home != block
+    if which == "once":
+        return (home == block) | (((home - block) % 2 == 0) == (home < block))
+    return np.ones(np.broadcast(home, block).shape, dtype=bool)
 
 def by_width(batch: pa.RecordBatch):
     """(width, slice of rows) of a batch; rows keep their order within a width."""
@@ -233,7 +263,7 @@ def measure(placed: DataFrame, blocks: Blocks, sizes: dict[int, int]) -> None:
                 size += np.bincount(home, minlength=len(size))
                 frame = blocks.frames[w]
                 if len(frame.centres):
-                    for part in (slice(i, i + 4096) for i in range(0, len(at), 4096)):
+                    for part in parts(len(at), len(frame.centres)):
                         away = blocks.from_centres(frame, at[part])
                         np.maximum.at(radius, home[part], away[np.arange(len(away)), home[part] - frame.first])
         some = np.flatnonzero(size)
@@ -257,35 +287,3 @@ def measure(placed: DataFrame, blocks: Blocks, sizes: dict[int, int]) -> None:
     # axes that a narrow width does not have
     blocks.low[~np.isfinite(blocks.low)] = 0.0
     blocks.high[~np.isfinite(blocks.high)] = 0.0
-
-
-def route(df: DataFrame, blocks: Blocks, bound: str, which: str = "all") -> DataFrame:
-    """One row for each row and block that it has to visit, as ``block``; its own one is ``home``.
-
-    ``bound`` is a column with the similarity (or distance) that a find needs. ``which`` is ``all``,
-    ``others`` for all but the own block, or ``later`` for the own one and those behind it, which is
-    enough where rows and items are the same and pairs count in both directions.
-    """
-    names = [n for n in df.columns if n != bound]
-
-    def visits(batches):
-        for batch in batches:
-            for w, rows in by_width(batch):
-                for part in (rows.slice(k, 2048) for k in range(0, rows.num_rows, 2048)):
-                    at, home = blocks.located(part.column(part.schema.get_field_index("v")), part.num_rows, w)
-                    can = blocks.reachable(at, w, part.column(part.schema.get_field_index(bound)).to_numpy(zero_copy_only=False))
-                    number = np.arange(blocks.count)
-                    if which == "others":
-                        can &= number[None, :] != home[:, None]
-                    elif which == "later":
-                        can &= number[None, :] >= home[:, None]
-                    row, block = np.nonzero(can)
-                    step = max(64, _COPIED_BYTES // (8 * max(w, 1)))
-                    for k in range(0, len(row), step):
-                        chosen = row[k : k + step]
-                        copies = [part.column(part.schema.get_field_index(n)).take(pa.array(chosen)) for n in names]
-                        places = [pa.array(x.astype(np.int32)) for x in (home[chosen], block[k : k + step])]
-                        yield pa.RecordBatch.from_arrays(copies + places, names=[*names, "home", "block"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != bound)
-    return df.mapInArrow(visits, f"{fields}, home int, block int")

@@ -244,3 +244,15 @@ def test_misplaced_keeps_the_first_good_epic(spark):
     assert [(r.current_epic_key, r.suggested_epic_key) for r in got] == [("E0", "EA")]
     assert got[0].confidence_score == pytest.approx(np.cos(0.30), abs=1e-9)
     assert "significantly higher semantic similarity, with Epic EA (high confidence)" in got[0].reasoning
+
+
+def test_what_tasks_read_and_emit_does_not_grow_with_the_blocks(spark):
+    """Ten times the rows have as many tasks to be copied to; a dense table has few edges, however small its cells."""
+    from taskloom.operators import neighbours
+
+    assert neighbours._tasks(50_000, 50_000, 64, 2048, 12) == neighbours._tasks(500_000, 500_000, 64, 2048, 12) == (12, 1)
+    assert neighbours._tasks(5, 1_000_000, 64, 2048, 12) == (1, 12)
+    v = np.random.default_rng(3).normal(size=(300, 8))
+    edges = linked_components(_table(spark, v).withColumnRenamed("embedding", "v"), 2.0, "key", cell_rows=4)
+    assert edges.count() <= 5 * 300
+    assert C.connected_components(edges).select("root").distinct().count() == 1
