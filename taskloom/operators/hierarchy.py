@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taskloom.operators.filters import for_project
-from taskloom.session import cut_lineage
+from taskloom.session import stored
 
 # Finished statuses and the issue types of each role, in lower case.
 DONE = ["done", "closed", "resolved", "completed"]
@@ -71,32 +71,32 @@ def _climbed(links: DataFrame, inside: list[str]) -> DataFrame:
     """All ways up to a closed link by pointer doubling, with their least steps.
 
     ``links (key, up, steps, open)`` has a row for each key and place above it, apart for each value of the
-    columns ``inside``; rows may come twice. A round replaces open links by the links of their upper end, so their length doubles,
+    columns ``inside``; rows may come twice. Every round reads them several times, so they should be a table. A round replaces open links by the links of their upper end, so their length doubles,
     and what cannot end is left out; a way longer than there are keys runs in a circle, so the
     rounds are logarithmic in any case.
     """
     current, size, reach = links, None, 1
     while not current.where("open").isEmpty():
-        size = size or current.select("key").distinct().count()
+        size = size or current.count()  # no fewer than keys
         if reach > size:
             break
         done = current.where("not open")
-        current = cut_lineage(_least(done.unionByName(_joined(current.where("open"), current, inside)), inside))
+        current = stored(_least(done.unionByName(_joined(current.where("open"), current, inside)), inside))
         reach *= 2
     # without a round the links are those given
-    return current.where("not open") if reach > 1 else cut_lineage(_least(current.where("not open"), inside))
+    return current.where("not open") if reach > 1 else stored(_least(current.where("not open"), inside))
 
 
 def _closed(links: DataFrame) -> DataFrame:
     """Least steps between all pairs that ways over the links connect, each round twice as long."""
-    current, before = cut_lineage(_least(links, [])), None
+    current, before = stored(_least(links, [])), None
     while True:
         state = tuple(current.agg(F.count("*"), F.sum("steps")).first())
         if state == before or not state[0]:
             return current
         before = state
         ways = current.unionByName(_joined(current, current, [])).where("key <> up")
-        current = cut_lineage(_least(ways, []))
+        current = stored(_least(ways, []))
 
 
 def descendants(items: DataFrame, roots: DataFrame) -> DataFrame:
@@ -106,14 +106,15 @@ def descendants(items: DataFrame, roots: DataFrame) -> DataFrame:
     and both are joined; so the rounds grow with the logarithm of the depth. Circles end. Every round
     is written to the shared checkpoint folder.
     """
-    named = roots.select(F.col("key").alias("up"), F.lit(False).alias("open")).distinct()
+    # tables of their own: the roots are read with their real size, the links more than once
+    named = stored(roots.select(F.col("key").alias("up"), F.lit(False).alias("open")).distinct())
     edges = _links(items).select(F.col("child").alias("key"), F.col("parent").alias("up"), F.lit(1).alias("steps"))
-    links = edges.join(named, "up", "left").withColumn("open", F.col("open").isNull())
+    links = stored(edges.join(named, "up", "left").withColumn("open", F.col("open").isNull()))
     first = _climbed(links, []).where("key <> up")
     between = _closed(first.join(named.select(F.col("up").alias("key")), "key", "left_semi"))
     found = first
     if not between.isEmpty():
-        found = cut_lineage(_least(first.unionByName(_joined(first, between, [])).where("key <> up"), []))
+        found = stored(_least(first.unionByName(_joined(first, between, [])).where("key <> up"), []))
     return found.select(F.col("up").alias("root"), "key", F.col("steps").alias("level"))
 
 
@@ -133,7 +134,7 @@ def _depth(rows: DataFrame) -> DataFrame:
     open_ = F.coalesce("open", F.lit(False)).alias("open")
     linked = below.join(members, ["root", "up"], "left").select("root", "key", "up", F.lit(1).alias("steps"), open_)
     top = rows.where("up is null or up = ''").select("root", "key", "up", F.lit(1).alias("steps"), F.lit(False).alias("open"))
-    return _climbed(cut_lineage(linked.unionByName(top)), ["root"]).groupBy("root").agg(F.max("steps").alias("hierarchy_depth"))
+    return _climbed(stored(linked.unionByName(top)), ["root"]).groupBy("root").agg(F.max("steps").alias("hierarchy_depth"))
 
 
 def is_done(status="status"):
@@ -153,9 +154,9 @@ def completion(tree: DataFrame, items: DataFrame, roots: DataFrame) -> DataFrame
 
 def epic_tree(items: DataFrame, roots: DataFrame) -> DataFrame:
     """One row per root: direct children, all descendants, total with the root, depth, completion."""
-    slim = cut_lineage(items.select("key", "parent_key", "epic_key", is_done().alias("done")))
+    slim = stored(items.select("key", "parent_key", "epic_key", is_done().alias("done")))
     state = slim.select("key", F.col("parent_key").alias("up"), "done")
-    rows = cut_lineage(descendants(slim, roots).join(state, "key").select("root", "key", "up", "level", "done"))
+    rows = stored(descendants(slim, roots).join(state, "key").select("root", "key", "up", "level", "done"))
     counts = rows.groupBy("root").agg(
         F.count_if(F.col("level") == 1).alias("direct_children"),
         F.count("*").alias("all_descendants"),

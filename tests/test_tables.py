@@ -241,3 +241,13 @@ def test_deep_chains_take_logarithmic_rounds(spark, monkeypatch):
     tree = H.descendants(df, df.where("key = 'k0'"))
     assert tree.count() == 299 and len(rounds) <= 12
     assert H.depth(tree, df).first().hierarchy_depth == 299 and len(rounds) <= 24
+
+
+def test_rounds_over_links_read_a_table(spark, items, monkeypatch):
+    """The links are joined with the roots once, not in every job that a round starts."""
+    seen = []
+    climbed = H._climbed
+    monkeypatch.setattr(H, "_climbed", lambda links, inside: seen.append(links) or climbed(links, inside))
+    H.descendants(items, items.where("issue_type = 'Epic'"))
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and "Join" not in plan and "Exchange" not in plan
