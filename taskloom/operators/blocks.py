@@ -29,7 +29,9 @@ MOVES = 4
 MODEL_BLOCKS = 4096
 _SLACK = 1e-6
 #: Products of vectors and centres that a task holds at once.
-_PRODUCTS = 1 << 20
+_PRODUCTS = 1 << 19
+#: Vectors of a batch that are worked on at once.
+_SLICE_BYTES = 1 << 21
 
 
 def parts(rows: int, centres: int) -> list[slice]:
@@ -194,10 +196,13 @@ def may_visit(home: np.ndarray, block, which: str) -> np.ndarray:
     return np.ones(np.broadcast(home, block).shape, dtype=bool)
 
 def by_width(batch: pa.RecordBatch):
-    """(width, slice of rows) of a batch; rows keep their order within a width."""
+    """(width, slice of rows) of a batch, of bounded bytes; rows keep their order within a width."""
     width = pc.list_value_length(batch.column(batch.schema.get_field_index("v"))).to_numpy(zero_copy_only=False)
     for w in np.unique(width):
-        yield int(w), batch.filter(pa.array(width == w)) if len(width) else batch
+        rows = batch if (width == w).all() else batch.filter(pa.array(width == w))
+        step = max(16, _SLICE_BYTES // (8 * max(int(w), 1)))
+        for k in range(0, rows.num_rows, step):
+            yield int(w), rows.slice(k, step)
 
 
 def fit(items: DataFrame, sizes: dict[int, int], block_rows: int, metric: str) -> Blocks:

@@ -38,7 +38,7 @@ CELL_ROWS = 2048
 TASK_BYTES = 1 << 25
 TASK_ITEM_BYTES = 1 << 28
 #: Copies of vectors that a dealing task holds at once.
-_COPIED_BYTES = 1 << 24
+_COPIED_BYTES = 1 << 22
 _HASH = "pmod(xxhash64(id), 2147483648L)"
 SCORE_DIGITS = 12
 _NO_LIMIT = -2.0

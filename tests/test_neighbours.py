@@ -256,3 +256,15 @@ def test_what_tasks_read_and_emit_does_not_grow_with_the_blocks(spark):
     edges = linked_components(_table(spark, v).withColumnRenamed("embedding", "v"), 2.0, "key", cell_rows=4)
     assert edges.count() <= 5 * 300
     assert C.connected_components(edges).select("root").distinct().count() == 1
+
+
+def test_batches_are_worked_on_in_bounded_slices():
+    """Neither a wide batch nor many centres make large temporaries."""
+    import pyarrow as pa
+
+    v = np.arange(9000 * 256, dtype=float).reshape(9000, 256)
+    batch = pa.RecordBatch.from_arrays([pa.array(list(v), pa.list_(pa.float64()))], names=["v"])
+    found = [(w, blocks.matrix(rows.column(0), rows.num_rows, unit=False)) for w, rows in blocks.by_width(batch)]
+    assert max(m.nbytes for _, m in found) <= 1 << 21 and (np.concatenate([m for _, m in found]) == v).all()
+    cuts = blocks.parts(10_000, 4096)
+    assert max((s.stop - s.start) * 4096 for s in cuts) <= 1 << 19 and cuts[-1].stop >= 10_000
