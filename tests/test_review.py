@@ -61,3 +61,15 @@ def test_tree_counts_all_children(spark, items):
 def test_fallback_templates_are_the_fixed_ones():
     assert templates.DESCRIPTION_TEMPLATES["Task"].startswith("## Description\n{task_description}\n\n## Requirements\n- ")
     assert "\n\n{description}\n\n" in templates.OTHER_DESCRIPTION
+
+
+def test_incremental_updates_of_the_snapshots(spark, tmp_path):
+    """Filters that Spark infers from the snapshots' key numbers meet epic keys without a number."""
+    import __spark_entry__ as entry
+
+    sf = str(tmp_path)
+    rows = [(n, f"text {n}", "en", "web" if n % 2 else "n", 6) for n in range(700)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    found = entry.queries()["J10_incremental_updates"](spark, sf).collect()
+    assert {r["key"] for r in found} == {f"DOC-{n}" for n in range(360, 700)} and len(found) == 340
