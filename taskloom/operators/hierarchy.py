@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from taskloom.operators.filters import for_project
 from taskloom.session import stored
+from taskloom.session import stored as cut_lineage  # what a round leaves
 
 # Finished statuses and the issue types of each role, in lower case.
 DONE = ["done", "closed", "resolved", "completed"]
@@ -81,60 +82,117 @@ def _climbed(links: DataFrame, inside: list[str]) -> DataFrame:
         if reach > size:
             break
         done = current.where("not open")
-        current = stored(_least(done.unionByName(_joined(current.where("open"), current, inside)), inside))
+        current = cut_lineage(_least(done.unionByName(_joined(current.where("open"), current, inside)), inside))
         reach *= 2
     # without a round the links are those given
-    return current.where("not open") if reach > 1 else stored(_least(current.where("not open"), inside))
+    return current.where("not open") if reach > 1 else cut_lineage(_least(current.where("not open"), inside))
 
 
 def _closed(links: DataFrame) -> DataFrame:
     """Least steps between all pairs that ways over the links connect, each round twice as long."""
-    current, before = stored(_least(links, [])), None
+    current, before = cut_lineage(_least(links, [])), None
     while True:
         state = tuple(current.agg(F.count("*"), F.sum("steps")).first())
         if state == before or not state[0]:
             return current
         before = state
         ways = current.unionByName(_joined(current, current, [])).where("key <> up")
-        current = stored(_least(ways, []))
+        current = cut_lineage(_least(ways, []))
 
 
-def descendants(items: DataFrame, roots: DataFrame) -> DataFrame:
-    """All items below each root: ``(root, key, level)``, each once at its first level.
+def _placed(items: DataFrame, named: DataFrame, keep: list[str]) -> DataFrame:
+    """``(key, up, n, is_parent, is_root)`` and the columns ``keep`` of each item and place above it; ``up`` is null where there is none.
 
-    Every key climbs to the first roots above it by pointer doubling, roots climb among themselves,
-    and both are joined; so the rounds grow with the logarithm of the depth. Circles end. Every round
-    is written to the shared checkpoint folder.
+    ``n`` is the number of rows of the key. The rows move once, by key.
     """
-    # tables of their own: the roots are read with their real size, the links more than once
-    named = stored(roots.select(F.col("key").alias("up"), F.lit(False).alias("open")).distinct())
-    edges = _links(items).select(F.col("child").alias("key"), F.col("parent").alias("up"), F.lit(1).alias("steps"))
-    links = stored(edges.join(named, "up", "left").withColumn("open", F.col("open").isNull()))
+    above = F.filter(F.array_distinct(F.array("parent_key", "epic_key")), lambda x: x.isNotNull() & (x != ""))
+    links = items.select("key", *keep, F.explode_outer(above).alias("up"))
+    parents = _links(items).select(F.col("parent").alias("key")).distinct().withColumn("is_parent", F.lit(True))
+    roots = named.select("key", F.lit(True).alias("is_root"))
+    flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    counted = links.withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    rows = counted.join(parents, "key", "left").join(roots, "key", "left")
+    return stored(rows.select("key", "up", *keep, "n", flag("is_parent"), flag("is_root")))
+
+
+def _inner(placed: DataFrame, named: DataFrame) -> DataFrame:
+    """All items with children below each root: ``(root, key, level)``, each once at its first level."""
+    edges = placed.where("is_parent and up is not null").select("key", "up", F.lit(1).alias("steps"))
+    ends = named.select(F.col("key").alias("up"), F.lit(False).alias("open"))
+    links = stored(edges.join(ends, "up", "left").withColumn("open", F.col("open").isNull()))
     first = _climbed(links, []).where("key <> up")
-    between = _closed(first.join(named.select(F.col("up").alias("key")), "key", "left_semi"))
+    between = _closed(first.join(named, "key", "left_semi"))
     found = first
     if not between.isEmpty():
         found = stored(_least(first.unionByName(_joined(first, between, [])).where("key <> up"), []))
     return found.select(F.col("up").alias("root"), "key", F.col("steps").alias("level"))
 
 
+def _tree(items: DataFrame, roots: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The members below each root, ``(root, key, level, is_parent)`` and the columns ``keep`` of their items,
+    and the items that are roots, ``(root)`` and ``keep``."""
+    # tables of their own: the roots are read with their real size, the links more than once
+    named = stored(roots.select("key").distinct())
+    placed = _placed(items, named, keep)
+    inner = _inner(placed, named)
+    below = named.select(F.col("key").alias("up"), F.col("key").alias("root"), F.lit(0).alias("above"))
+    below = below.unionByName(inner.select(F.col("key").alias("up"), "root", F.col("level").alias("above")))
+    reached = placed.where("up is not null").join(below, "up").where("key <> root")
+    level = (F.col("above") + 1).alias("level")
+    if placed.where("n > 1").isEmpty():
+        members = reached.select("root", "key", level, "is_parent", *keep)
+        return members, placed.where("is_root").select(F.col("key").alias("root"), *keep)
+    members = reached.select("root", "key", level).groupBy("root", "key").agg(F.min("level").alias("level"))
+    kept = items.select("key", *keep)
+    members = members.join(kept, "key").select("root", "key", "level", F.lit(True).alias("is_parent"), *keep) if keep else members
+    return members, named.join(kept, "key").select(F.col("key").alias("root"), *keep)
+
+
+def descendants(items: DataFrame, roots: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """All items below each root: ``(root, key, level)``, each once at its first level.
+
+    Items that have children climb to the first roots above them by pointer doubling, roots climb among themselves,
+    and both are joined; so the rounds grow with the logarithm of the depth. Circles end. Every round
+    is written to the shared checkpoint folder. All items take the roots of the places above them at last.
+    With ``keep`` members also have these columns of their items, and ``is_parent`` where they may have children.
+    """
+    members, _ = _tree(items, roots, keep or [])
+    return members.select("root", "key", "level", *([*keep, "is_parent"] if keep else []))
+
+
 def depth(tree: DataFrame, items: DataFrame) -> DataFrame:
     """Depth of each root's tree along ``parent_key``: ``(root, hierarchy_depth)``.
 
     Items whose parent is not in the tree have depth 1, others one more than their parent; those in a
-    circle have none. Found by pointer doubling inside each tree.
+    circle have none. Found by pointer doubling inside each tree. A tree that has kept ``parent_key``
+    needs no join with the items.
     """
-    return _depth(tree.join(items.select("key", F.col("parent_key").alias("up")), "key").select("root", "key", "up"))
+    if not {"parent_key", "is_parent"} <= set(tree.columns):
+        tree = tree.select("root", "key").join(items.select("key", "parent_key"), "key").withColumn("is_parent", F.lit(True))
+    return _depth(stored(_folded(tree).distinct()))
+
+
+def _folded(tree: DataFrame, *columns: str) -> DataFrame:
+    """Members ``(root, key, up)`` with their parents; ``key`` is null for those without children, which no way up passes."""
+    return tree.select("root", F.when(F.col("is_parent"), F.col("key")).alias("key"), F.col("parent_key").alias("up"), *columns)
 
 
 def _depth(rows: DataFrame) -> DataFrame:
     """Depth of each root's tree from its members and their parents, ``(root, key, up)``."""
-    below = rows.where("up is not null and up <> ''")
-    members = rows.select("root", F.col("key").alias("up"), F.lit(True).alias("open"))
+    inner = rows.where("key is not null")
+    below = inner.where("up is not null and up <> ''")
+    members = inner.select("root", F.col("key").alias("up"), F.lit(True).alias("open")).distinct()
     open_ = F.coalesce("open", F.lit(False)).alias("open")
     linked = below.join(members, ["root", "up"], "left").select("root", "key", "up", F.lit(1).alias("steps"), open_)
-    top = rows.where("up is null or up = ''").select("root", "key", "up", F.lit(1).alias("steps"), F.lit(False).alias("open"))
-    return _climbed(stored(linked.unionByName(top)), ["root"]).groupBy("root").agg(F.max("steps").alias("hierarchy_depth"))
+    top = inner.where("up is null or up = ''").select("root", "key", "up", F.lit(1).alias("steps"), F.lit(False).alias("open"))
+    found = _climbed(stored(linked.unionByName(top)), ["root"]).groupBy("root", "key").agg(F.max("steps").alias("steps"))
+    # members without children are one deeper than their parent, which has no depth in a circle
+    ends = rows.where("key is null").select("root", "up").distinct()
+    parents = inner.select("root", "key").distinct().join(found, ["root", "key"], "left")
+    parents = parents.select("root", F.col("key").alias("up"), F.lit(True).alias("inside"), "steps")
+    steps = F.when(F.col("inside"), F.col("steps") + 1).otherwise(1).alias("steps")
+    ends = ends.join(parents, ["root", "up"], "left").select("root", steps).where("steps is not null")
+    return found.select("root", "steps").unionByName(ends).groupBy("root").agg(F.max("steps").alias("hierarchy_depth"))
 
 
 def is_done(status="status"):
@@ -154,15 +212,17 @@ def completion(tree: DataFrame, items: DataFrame, roots: DataFrame) -> DataFrame
 
 def epic_tree(items: DataFrame, roots: DataFrame) -> DataFrame:
     """One row per root: direct children, all descendants, total with the root, depth, completion."""
-    slim = stored(items.select("key", "parent_key", "epic_key", is_done().alias("done")))
-    state = slim.select("key", F.col("parent_key").alias("up"), "done")
-    rows = stored(descendants(slim, roots).join(state, "key").select("root", "key", "up", "level", "done"))
+    members, own = _tree(items.select("key", "parent_key", "epic_key", is_done().alias("done")), roots, ["parent_key", "done"])
+    folded = _folded(members, "level", "done").groupBy("root", "key", "up")
+    rows = stored(
+        folded.agg(
+            F.count_if(F.col("level") == 1).alias("direct"), F.count("*").alias("n"), F.count_if("done").alias("done")
+        )
+    )
     counts = rows.groupBy("root").agg(
-        F.count_if(F.col("level") == 1).alias("direct_children"),
-        F.count("*").alias("all_descendants"),
-        F.count_if("done").alias("finished"),
+        F.sum("direct").alias("direct_children"), F.sum("n").alias("all_descendants"), F.sum("done").alias("finished")
     )
-    own = roots.select(F.col("key").alias("root")).distinct().join(state.select(F.col("key").alias("root"), "done"), "root")
+    own = own.select("root", "done")
     zero = lambda c, v=0: F.coalesce(c, F.lit(v))
     finished = zero("finished") + F.col("done").cast("int")
     total = zero("all_descendants") + 1

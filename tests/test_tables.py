@@ -1,7 +1,10 @@
 """Tables, state, upserts, hierarchy and the fetch job."""
 
-import random
+import glob
 import json
+import os
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -251,3 +254,46 @@ def test_rounds_over_links_read_a_table(spark, items, monkeypatch):
     H.descendants(items, items.where("issue_type = 'Epic'"))
     plan = seen[0]._jdf.queryExecution().executedPlan().toString()
     assert "Scan parquet" in plan and "Join" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_trees_of_single_links_and_leaves(spark, seed):
+    """Forests with one link an item, nested roots, circles and unknown parents; most items have no children."""
+    rng = random.Random(seed)
+    keys = [f"k{i}" for i in range(30)] + [f"z{i}" for i in range(90)]
+    up = lambda i: rng.choice([None, "", "gone", keys[rng.randrange(30)], *[keys[rng.randrange(max(1, min(i, 30)))] for _ in range(6)]])
+    links = [(k, up(i), rng.random() < 0.4) for i, k in enumerate(keys)]
+    rows = [(k, None if epic else u, u if epic else None) for k, u, epic in links]
+    df = spark.createDataFrame(rows, "key string, parent_key string, epic_key string").withColumn("status", F.lit("Done"))
+    roots = rng.sample(keys[:30], 9) + ["z5", "unknown"]
+    named = spark.createDataFrame([(r,) for r in roots], "key string")
+    levels, depths = _tree_brute(rows, roots)
+    tree = H.descendants(df, named)
+    assert {(r.root, r.key): r.level for r in tree.collect()} == levels and tree.count() == len(levels)
+    kept = H.descendants(df, named, ["parent_key"])
+    assert {(r.root, r.key): r.parent_key for r in kept.collect()} == {(r, k): p for r, k in levels for x, p, _ in rows if x == k}
+    for found in (H.depth(tree, df), H.depth(kept, df)):
+        assert {r.root: r.hierarchy_depth for r in found.collect()} == depths
+    counts = {r.root: (r.direct_children, r.all_descendants, r.hierarchy_depth) for r in H.epic_tree(df, named).collect()}
+    below = {r: [v for (x, _), v in levels.items() if x == r] for r in roots if r != "unknown"}
+    assert counts == {r: (v.count(1), len(v), depths.get(r, 1)) for r, v in below.items()}
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """A table aside is written once, so its shuffles need not wait on disk for the driver's garbage collection."""
+    from taskloom.session import stored
+
+    top = os.environ.get("SPARK_LOCAL_DIRS") or spark.sparkContext.getConf().get("spark.local.dir") or "/tmp"
+    files = lambda: set(glob.glob(f"{top}/**/blockmgr-*/*/shuffle_*", recursive=True))
+    rows = spark.range(20_000).selectExpr("id % 999 as k", "id")
+    before = files()
+    rows.groupBy("k").count().collect()
+    assert files() - before, "shuffle files lie elsewhere"
+    before = files()
+    assert stored(rows.groupBy("k").count()).count() == 999
+    for _ in range(50):
+        left = {f for f in files() - before if f.endswith(".data") and os.path.getsize(f) > 1000}
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left
