@@ -46,7 +46,7 @@ def completion(spark, sf):
 
 def depth(spark, sf):
     items = tree_items(spark, sf)
-    out = H.depth(H.descendants(items, _epics(items)), items)
+    out = H.depth(H.descendants(items, _epics(items), ["parent_key"]), items)
     return out.withColumn("hierarchy_depth", F.col("hierarchy_depth").cast("bigint"))
 
 
