@@ -193,7 +193,7 @@ def may_visit(home: np.ndarray, block, which: str) -> np.ndarray:
         return home != block
     if which == "once":
         return (home == block) | (((home - block) % 2 == 0) == (home < block))
-    return np.ones(np.broadcast(home, block).shape, dtype=bool)
+    return np.ones(np.broadcast_shapes(np.shape(home), np.shape(block)), dtype=bool)
 
 def by_width(batch: pa.RecordBatch):
     """(width, slice of rows) of a batch, of bounded bytes; rows keep their order within a width."""
