@@ -297,3 +297,31 @@ def test_stored_tables_leave_no_shuffle_files(spark):
             break
         time.sleep(0.2)
     assert not left
+
+
+def test_wide_tables_are_merged_some_buckets_at_once(spark, tmp_path, monkeypatch):
+    """Parts of the buckets give the table of one go, and what was written aside is gone."""
+    aside = []
+    monkeypatch.setattr(store, "stored", lambda df, real=store.stored: aside.append(real(df)) or aside[-1])
+    make = lambda lo, hi, text: spark.range(lo, hi).select(
+        F.concat(F.lit("k"), "id").alias("key"), F.lit(text).alias("text"), F.timestamp_seconds(F.lit(len(text))).alias("updated")
+    )
+    for part in (None, 3):
+        store.change_table(make(0, 90, "old"), f"{tmp_path}/{part}", "key", sync.upsert, buckets=8, at_once=part)
+        store.change_table(make(60, 120, "newer"), f"{tmp_path}/{part}", "key", sync.upsert, buckets=8, at_once=part)
+        rows = store.load_table(spark, f"{tmp_path}/{part}").collect()
+        assert {r["key"]: r["text"] for r in rows} == {f"k{i}": "old" if i < 60 else "newer" for i in range(120)} and len(rows) == 120
+    assert len(aside) == 1 + 3 and all(spark.read.parquet(df.stored_at).count() == 0 for df in aside)
+
+
+def test_incremental_rows_move_once_by_key(spark, items):
+    """Whole rows meet the links found and the stored hashes in one move."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tracked = sync.tracking_rows(items, NOW)
+        wanted = sync.incremental_updates(items.repartition(3), tracked, "PROJ", "2023-01-01 00:00:00")
+        plan = sync.changed_only(wanted, tracked)._jdf.queryExecution().executedPlan().toString()
+        assert {r["key"] for r in wanted.collect()} == {"PROJ-1", "PROJ-2", "PROJ-3", "PROJ-4", "PROJ-5", "PROJ-E1", "PROJ-E2"}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "coalesce(epic_key" not in plan and "_links" in plan  # as keys of a join they would move the rows apart from the key
